@@ -1,0 +1 @@
+"""Text reuse on Spark: segments, candidate generators, judges and evaluation as DataFrames."""
