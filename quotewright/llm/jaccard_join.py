@@ -23,8 +23,9 @@ from . import textops as T
 from .common import columns, drop_written, fresh, ints, slices, text_hash, written
 from .graph import components
 
-#: Words of a gram, Jaccard similarity from which two texts pair, recall that banding aims at there.
-N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.7, 0.96, 128
+#: Words of a gram, Jaccard similarity from which two texts pair (that of a text and its copy with a tenth of the words
+#: changed is 0.57), recall that banding aims at there, and how many hashes it may take.
+N, THRESHOLD, RECALL, MOST_HASHES = 3, 0.55, 0.98, 170
 #: Grams and texts of one block of a component.
 BLOCK_GRAMS, BLOCK_NODES = 2_000_000, 2_000
 _U = np.uint64
