@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, fresh
+from .common import columns, fresh, written
 
 #: Bits a dimension, and characters that a shard should hold.
 BITS, SHARD_CHARS = 5, 64 << 20
@@ -126,7 +126,8 @@ def _quantised(docs: DataFrame, bits: int) -> tuple[DataFrame, list[str]]:
     out = docs.withColumn(names[2], length.cast("int")).withColumn(names[3], F.least(F.greatest(doc, F.lit(0)), F.lit(top - 1)).cast("int"))
     for c, q in ((DIMENSIONS[0], names[0]), (DIMENSIONS[1], names[1])):
         v = fresh("qw_v", out.columns)
-        codes = coded(c).select(F.col("v").alias(v), F.col("q").alias(q))
+        # written, so that its size is known: Spark broadcasts it if it is small, and else joins by shuffle
+        codes = written(coded(c).select(F.col("v").alias(v), F.col("q").alias(q)), "codes")
         out = out.join(codes, F.coalesce(col(c).cast("string"), F.lit("")) == F.col(v), "left").drop(v)
     return out, names
 
