@@ -30,8 +30,8 @@ _COIN = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64)
 _RUN, _PAIR, _LONG = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25), _U(0xD6E8FEB86659FD93)
 
 
-def symbols(h: np.ndarray, ptr: np.ndarray, least: int = SYMBOL_WORDS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(names, first words) of the symbols of ``least`` words or more of the texts ``h[ptr[i]:ptr[i + 1]]``.
+def symbols(h: np.ndarray, ptr: np.ndarray, least: int = SYMBOL_WORDS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, first words, words) of the symbols of ``least`` words or more of the texts ``h[ptr[i]:ptr[i + 1]]``.
 
     A run that reaches ``least`` words goes by what it repeats, however often: runs cut by
     the end of a passage stay alike."""
@@ -41,7 +41,7 @@ def symbols(h: np.ndarray, ptr: np.ndarray, least: int = SYMBOL_WORDS, rounds: i
     ends = ptr[1:][np.diff(ptr) > 0] - 1
     last[ends] = True
     name = h
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for r in range(rounds):
         if len(name) == 0:
             break
@@ -75,12 +75,14 @@ def symbols(h: np.ndarray, ptr: np.ndarray, least: int = SYMBOL_WORDS, rounds: i
         # symbols between two that stay can't grow: leave out those that stay but keep what parts their neighbours
         done = size >= least
         if done.any():
-            out.append((name[done], at[done]))
+            out.append((name[done], at[done], size[done]))
             apart = np.zeros(len(name), bool)
             apart[:-1] = done[1:]
             last = last | apart
             name, at, size, last = name[~done], at[~done], size[~done], last[~done]
-    return (np.concatenate([n for n, _ in out]), np.concatenate([a for _, a in out])) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _packed(h: np.ndarray, doc: np.ndarray, places: list[np.ndarray], n_parts: int) -> Iterator[pa.RecordBatch]:
@@ -96,39 +98,35 @@ def _packed(h: np.ndarray, doc: np.ndarray, places: list[np.ndarray], n_parts: i
     yield pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(end - begin, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "n", "blob"])
 
 
-def _shared(n_places: int):
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the packed entries of a partition, the places of hashes that several documents have, by document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, ds, ps = [], [], []
-        for batch in batches:
-            for n, blob in zip(batch.column(1).to_pylist(), batch.column(2)):
-                raw = blob.as_buffer()
-                hs.append(np.frombuffer(raw, np.uint64, n))
-                ds.append(np.frombuffer(raw, np.int64, n, 8 * n))
-                ps.append(np.frombuffer(raw, np.int32, n * n_places, 16 * n).reshape(n_places, n))
-        if not hs:
-            return
-        h, d, p = np.concatenate(hs), np.concatenate(ds), np.concatenate(ps, axis=1)
-        del hs, ds, ps
-        order = np.argsort(h)
-        h, d = h[order], d[order]
-        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        several = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
-        ok = np.repeat(several, np.diff(np.concatenate([begin, [len(h)]])))
-        d, p = d[ok], p[:, order[ok]]
-        order = np.argsort(d, kind="stable")
-        d, p = d[order], p[:, order]
-        if len(d) == 0:
-            return
-        begin = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-        end = np.concatenate([begin[1:], [len(d)]])
-        step = 20_000
-        for k in range(0, len(begin), step):
-            cut = list(zip(begin[k : k + step].tolist(), end[k : k + step].tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(d[begin[k : k + step]]), pa.array([np.ascontiguousarray(p[:, a:b]).tobytes() for a, b in cut], pa.binary())], names=["doc_id", "places"])
-
-    return run
+    hs, ds, ps = [], [], []
+    for batch in batches:
+        for n, blob in zip(batch.column(1).to_pylist(), batch.column(2)):
+            raw = blob.as_buffer()
+            hs.append(np.frombuffer(raw, np.uint64, n))
+            ds.append(np.frombuffer(raw, np.int64, n, 8 * n))
+            ps.append(np.frombuffer(raw, np.int32, 2 * n, 16 * n).reshape(2, n))
+    if not hs:
+        return
+    h, d, p = np.concatenate(hs), np.concatenate(ds), np.concatenate(ps, axis=1)
+    del hs, ds, ps
+    order = np.argsort(h)
+    h, d = h[order], d[order]
+    begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    several = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
+    ok = np.repeat(several, np.diff(np.concatenate([begin, [len(h)]])))
+    d, p = d[ok], p[:, order[ok]]
+    order = np.argsort(d, kind="stable")
+    d, p = d[order], p[:, order]
+    if len(d) == 0:
+        return
+    begin = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+    end = np.concatenate([begin[1:], [len(d)]])
+    step = 20_000
+    for k in range(0, len(begin), step):
+        cut = list(zip(begin[k : k + step].tolist(), end[k : k + step].tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array(d[begin[k : k + step]]), pa.array([np.ascontiguousarray(p[:, a:b]).tobytes() for a, b in cut], pa.binary())], names=["doc_id", "places"])
 
 
 def _name(n_parts: int):
@@ -137,12 +135,12 @@ def _name(n_parts: int):
             ids = ints(batch, "doc_id")
             parts = []
             for w in T.words(batch.column(1)):
-                name, at = symbols(w.hash, w.ptr)
+                name, at, size = symbols(w.hash, w.ptr)
                 row = np.searchsorted(w.ptr, at, side="right") - 1
-                parts.append((name, ids[w.first + row], at - w.ptr[row]))
+                parts.append((name, ids[w.first + row], at - w.ptr[row], size))
             if parts:
-                h, d, p = (np.concatenate(x) for x in zip(*parts))
-                yield from _packed(h, d, [p], n_parts)
+                h, d, p, s = (np.concatenate(x) for x in zip(*parts))
+                yield from _packed(h, d, [p, s], n_parts)
 
     return run
 
@@ -159,9 +157,10 @@ def _windows(n_parts: int, min_words: int):
                 for d in range(w.n_docs):
                     n = int(w.ptr[d + 1] - w.ptr[d])
                     if n >= min_words:
-                        at = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in places[w.first + d].values])
+                        at, size = np.concatenate([np.frombuffer(x.as_buffer(), np.int32).reshape(2, -1) for x in places[w.first + d].values], axis=1)
+                        # windows with SYMBOL_WORDS words of the symbol at least: of a long run they needn't hold all
                         a = np.maximum(0, at + SYMBOL_WORDS - min_words)
-                        z = np.minimum(at, n - min_words)
+                        z = np.minimum(at + size - SYMBOL_WORDS, n - min_words)
                         ok = a <= z
                         np.add.at(edge, w.ptr[d] + a[ok], 1)
                         np.add.at(edge, w.ptr[d] + z[ok] + 1, -1)
@@ -221,10 +220,10 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     n = n_partitions(docs.sparkSession)
     src = columns(docs, doc_id="long", text="string").where("doc_id is not null and text is not null")
     named = src.mapInArrow(_name(n), "part int, n long, blob binary").repartitionById(n, F.col("part"))
-    shared = named.mapInArrow(_shared(1), "doc_id long, places binary").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    shared = named.mapInArrow(_shared, "doc_id long, places binary").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     regions = src.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "places")
     windows = regions.mapInArrow(_windows(n, min_words), "part int, n long, blob binary").repartitionById(n, F.col("part"))
-    found = windows.mapInArrow(_shared(2), "doc_id long, places binary").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    found = windows.mapInArrow(_shared, "doc_id long, places binary").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     return found.mapInArrow(_spans, "doc_id long, span_start long, span_end long")
 
 
