@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import columns, slices, strings, table
+from .common import columns, slices
 
 #: Words of a phrase; shorter items of at least LEAST_WORDS are one phrase each.
 PHRASE_WORDS, LEAST_WORDS = 8, 5
@@ -209,10 +209,6 @@ def _passes(benchmark: DataFrame, n: int, most: int) -> list[Phrases]:
     return [phrases([(r[0], r[1]) for r in items.where(part == k).collect()], n) for k in range(parts)]
 
 
-def _merge(spans: list[tuple[int, int, int, int, str]]) -> list[tuple[int, int, int, int, str]]:
-    return sorted(set(spans))
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE_WORDS, most: int = PASS_BYTES) -> DataFrame:
     """(doc_id, span_start, span_end, n_words, items): where documents hold phrases of the benchmark.
 
@@ -230,7 +226,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE_WORDS, most: in
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mark = ph.mark
             for batch in slices(batches, "text", SHARD_BYTES):
-                found = _merge(spans_of(batch.column(1), ph, mark))
+                found = spans_of(batch.column(1), ph, mark)
                 if found:
                     rows, a, z, w, items = zip(*found)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(a, pa.int64()), pa.array(z, pa.int64()), pa.array(w, pa.int64()), pa.array(items)], schema=fields)
