@@ -23,6 +23,8 @@ def _fs(df: DataFrame, path: str):
 def _single(df: DataFrame, path: str, kind: str, **options) -> None:
     """Writes ``df``, in its order, as one file at ``path``; folders above are made."""
     tmp = f"{path}.{uuid.uuid4().hex}"
+    if kind == "csv":
+        options |= {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     df.coalesce(1).write.options(**options).format(kind).save(tmp)
     fs, folder = _fs(df, tmp)
     _, target = _fs(df, path)
