@@ -4,6 +4,10 @@ All take keyword arguments that they don't know, as pipelines hand theirs to eve
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from quotewright.functions import text as tx
 from quotewright.functions.stopwords import CONTEXTUAL
 
 _ORDER = ("row_id", "pos")
+#: Sources of a block that approximate search scores at once; queries whose exact neighbours set its bucket length.
+BLOCK, SAMPLED = 20_000, 64
 
 
 def _side(segments: DataFrame, side: str, *more: str) -> DataFrame:
@@ -18,12 +24,16 @@ def _side(segments: DataFrame, side: str, *more: str) -> DataFrame:
     return segments.select(F.col("seg_id").alias(f"{side}_id"), place.alias(f"{side}_order"), *more)
 
 
-def ranked(scored: DataFrame, top_k: int | None) -> DataFrame:
-    """Rows (query_id, source_id, source_order, candidate_score) by falling score, ties in source order, cut at ``top_k``."""
+def ranked_rows(scored: DataFrame, top_k: int | None) -> DataFrame:
+    """Rows (query_id, source_id, source_order, candidate_score) by falling score, ties in source order, cut at ``top_k``; all columns."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("candidate_score"), "source_order", "source_id"))
     out = scored.withColumn("rank", rank)
-    out = out if top_k is None else out.where(F.col("rank") <= top_k)
-    return out.select("query_id", "source_id", "rank", "candidate_score")
+    return out if top_k is None else out.where(F.col("rank") <= top_k)
+
+
+def ranked(scored: DataFrame, top_k: int | None) -> DataFrame:
+    """:func:`ranked_rows` as candidates."""
+    return ranked_rows(scored, top_k).select("query_id", "source_id", "rank", "candidate_score")
 
 
 def exhaustive(query: DataFrame, source: DataFrame, **_: object) -> DataFrame:
@@ -56,17 +66,90 @@ def embedding(query: DataFrame, source: DataFrame, *, top_k: int | None = 100, v
     return ranked(q.crossJoin(s).select("query_id", "source_id", "source_order", score.alias("candidate_score")), top_k)
 
 
-def embedding_lsh(query: DataFrame, source: DataFrame, *, top_k: int = 100, vector: str = "embedding", distance: float = 1.0, bucket: float = 0.5, tables: int = 12, seed: int = 42, **_: object) -> DataFrame:
-    """The same approximately, by random projections: only pairs that share a bucket are scored."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    q = _side(query, "query", array_to_vector(unit(F.col(vector))).alias("f"))
-    s = _side(source, "source", array_to_vector(unit(F.col(vector))).alias("f"))
-    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(s)
-    near = model.approxSimilarityJoin(q, s, distance, "d")
-    rows = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.source_id").alias("source_id"), F.col("datasetB.source_order").alias("source_order"), (1 - F.col("d") ** 2 / 2).alias("candidate_score"))
-    return ranked(rows, top_k)
+def _nearest_of_block(k: int):
+    def run(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(q) and len(s):
+            s = s.iloc[sorted(range(len(s)), key=lambda i: (s["r"].iat[i], s["p"].iat[i], s["source_id"].iat[i]))]
+            u, v = np.stack(s["u"].to_numpy()), np.stack(q["v"].to_numpy())
+            step = max(1, (1 << 22) // len(s))
+            for at in range(0, len(q), step):
+                score = v[at : at + step] @ u.T
+                if len(s) > k:
+                    pick = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                    least = np.take_along_axis(score, pick, 1).min(axis=1)
+                    for i in np.flatnonzero((score >= least[:, None]).sum(axis=1) > k):  # ties go by source order
+                        above, same = np.flatnonzero(score[i] > least[i]), np.flatnonzero(score[i] == least[i])
+                        pick[i] = np.concatenate([above, same[: k - len(above)]])
+                else:
+                    pick = np.tile(np.arange(len(s)), (len(score), 1))
+                found.append((np.repeat(np.arange(at, at + len(score)), pick.shape[1]), pick.ravel(), np.take_along_axis(score, pick, 1).ravel()))
+        i, j, c = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "source_id": s["source_id"].to_numpy()[j], "r": s["r"].to_numpy()[j], "p": s["p"].to_numpy()[j], "candidate_score": c})
+
+    return run
+
+
+def _block_scores(q: DataFrame, s: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each query in each block: sides (.., at, v) and (.., at, u), paired where ``at`` is equal."""
+    s = s.select("source_id", F.col("source_order.r").cast("long").alias("r"), F.col("source_order.p").cast("long").alias("p"), "at", "u")
+    rows = q.select("query_id", "at", "v").groupBy("at").cogroup(s.groupBy("at")).applyInPandas(_nearest_of_block(k), "query_id string, source_id string, r long, p long, candidate_score double")
+    return rows.dropDuplicates(["query_id", "source_id"]).select("query_id", "source_id", F.struct("r", "p").alias("source_order"), "candidate_score")
+
+
+def _bucket_for(distances: list[float], dim: int, tables: int, recall: float) -> float:
+    """Bucket length by which pairs at these distances share one of ``tables`` buckets at the mean rate ``recall``."""
+    d = np.maximum(np.array(distances), 1e-6) / math.sqrt(dim)  # projected, a distance spreads like a normal variable of this deviation
+
+    def shared(w: float) -> float:
+        t = w / d
+        p = np.array([math.erf(x / math.sqrt(2)) for x in t]) - 2 / (math.sqrt(2 * math.pi) * t) * (1 - np.exp(-(t**2) / 2))
+        return float(np.mean(1 - (1 - np.clip(p, 0, 1)) ** tables))
+
+    lo, hi = 1e-9, 100.0
+    for _ in range(60):
+        lo, hi = ((lo + hi) / 2, hi) if shared((lo + hi) / 2) < recall else (lo, (lo + hi) / 2)
+    return hi
+
+
+def embedding_lsh(query: DataFrame, source: DataFrame, *, top_k: int = 100, vector: str = "embedding", bucket: float | None = None, tables: int = 12, seed: int = 42, recall: float = 0.95, **_: object) -> DataFrame:
+    """The same approximately, by random projections: only pairs that share a bucket are scored, however far apart they are.
+
+    Without ``bucket`` its length is set so that the ``top_k``-th neighbour, as some queries' exact ones lie, shares a
+    bucket at the rate ``recall``; nearer ones do more often.  A query with fewer than ``top_k`` candidates is scored
+    against every source.  Null vectors are left out.  Blocks of a bucket have at most BLOCK sources or so."""
+    q = _side(query, "query", unit(F.col(vector)).alias("v")).where("v is not null")
+    s = _side(source, "source", unit(F.col(vector)).alias("u")).where("u is not null")
+    n, dim = s.agg(F.count("*"), F.max(F.size("u"))).first()
+    k, parts = min(top_k, n), max(1, -(-n // BLOCK))
+    part = F.pmod(F.xxhash64("source_id"), F.lit(parts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+    def exact(some: DataFrame) -> DataFrame:
+        return _block_scores(some.withColumn("part", every).withColumn("at", F.struct("part")), s.withColumn("at", F.struct(part.alias("part"))), k)
+
+    if not k:
+        return ranked(q.join(s, F.lit(False)).select("query_id", "source_id", "source_order", F.lit(0.0).alias("candidate_score")), top_k)
+    if bucket is None:
+        some = q.orderBy(F.xxhash64("query_id", F.lit(seed)), "query_id").limit(SAMPLED)
+        kth = ranked(exact(some), k).where(F.col("rank") == k).collect()
+        bucket = _bucket_for([math.sqrt(max(0.0, 2 - 2 * r["candidate_score"])) for r in kth] or [1.0], dim, tables, recall)
+    rng = np.random.default_rng(seed)
+    planes = rng.normal(size=(tables, max(1, dim)))
+    planes /= np.linalg.norm(planes, axis=1, keepdims=True)
+    shifts = rng.uniform(0, bucket, tables)
+
+    @F.pandas_udf("array<long>")
+    def places(v: pd.Series) -> pd.Series:
+        return pd.Series(list(np.floor((np.stack(v.to_numpy()) @ planes.T + shifts) / bucket).astype(np.int64))) if len(v) else pd.Series([], dtype=object)
+
+    at = F.struct("table", "bucket", "part")
+    a = q.select("query_id", "v", F.posexplode(places("v")).alias("table", "bucket")).withColumn("part", every).withColumn("at", at)
+    b = s.select("*", F.posexplode(places("u")).alias("table", "bucket")).withColumn("part", part).withColumn("at", at)
+    near = ranked_rows(_block_scores(a, b, k), k).persist()
+    short = q.join(near.where(F.col("rank") == k).select("query_id"), "query_id", "left_anti")
+    near = near.join(short.select("query_id"), "query_id", "left_anti").drop("rank")
+    return ranked(near.unionByName(exact(short)), top_k)
 
 
 def bigrams(tokens: Column, interval: int = 0) -> Column:
