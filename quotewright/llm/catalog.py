@@ -25,7 +25,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.url_scores(table(spark, sf_dir, "pages"))
+    return url_filter.url_scores(table(spark, sf_dir, "pages"), rounds=url_filter.ROUNDS)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 The unigram model counts words of all pages (visible text, hyphenated host names and paths).  Every substring of a
 distinct host label is joined with it, so each label gets just the counts that its splits can use, whatever the size
 of the vocabulary; one dynamic program per label finds the best split.  The class model counts tokens of all URLs;
-classes come from the hosts that hold a seed word as a hyphenated part, and its log odds reach hosts whose
-words are run together or only keep such company.
+classes come from the hosts that hold a seed word as a hyphenated part.  With rounds, hosts whose words are run
+together count as seeded too, and all others are unlabelled: each is labelled by what other hosts say of its words.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from .common import columns, written
 
 #: Words that mark a host as unwanted, longest word in characters, additive smoothing.
-SEEDS = ("casino", "bets", "bet", "pills", "ads", "track", "porn", "xxx", "viagra", "poker", "loan", "loans", "warez", "torrent")
+SEEDS = ("casino", "bets", "bet", "pills", "ads", "track", "porn", "xxx", "viagra", "poker", "loan", "loans", "warez", "torrent", "spam", "adult", "sex", "escort", "gambling", "malware", "phishing")
 LONGEST, SMOOTHING = 20, 1.0
+#: Rounds in which the unseeded hosts of the registered query are labelled anew.
+ROUNDS = 3
 _IGNORED = ("www", "http", "https", "html", "htm", "php", "com", "net", "org")
 
 
@@ -87,12 +89,35 @@ def segments(pieces: DataFrame, counts: DataFrame) -> DataFrame:
     return known.mapInPandas(_segment(total), "piece string, words array<string>")
 
 
-def url_scores(pages: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+def _unlabelled(hosts: DataFrame, words: DataFrame, seeds: tuple[str, ...], rounds: int) -> DataFrame:
+    """(host, rows, w): ``w`` the probability of the unwanted class, 1 for hosts with a seed among their words.
+
+    A word is told by the hosts that have it, without the host asked about, so that no host teaches that itself is
+    clean; a word of no other host tells nothing."""
+    sure = F.col("bad") | F.coalesce(F.arrays_overlap("host_words", F.array(*[F.lit(x) for x in seeds])), F.lit(False))
+    own = F.array_distinct(F.filter(F.coalesce("host_words", F.array().cast("array<string>")), lambda x: ~x.isin(*_IGNORED)))
+    state = written(hosts.join(words, "host", "left").select("host", "rows", sure.alias("sure"), own.alias("own"), sure.cast("double").alias("w")), "labels")
+    for _ in range(rounds):
+        n, b = state.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+        if not 0 < b < n:
+            break
+        share = b / n
+        tokens = state.select("host", "w", F.explode("own").alias("token"))
+        model = tokens.groupBy("token").agg(F.sum("w").alias("b"), F.sum(1 - F.col("w")).alias("g"))
+        others = lambda c, mine: F.greatest(F.col(c) - mine, F.lit(0.0))
+        r = F.log((others("b", F.col("w")) + share) / (others("g", 1 - F.col("w")) + 1 - share)) - math.log(share / (1 - share))
+        told = tokens.join(model, "token").groupBy("host").agg(F.sum(r).alias("r"))
+        odds = F.coalesce("r", F.lit(0.0)) + math.log(share / (1 - share))
+        state = written(state.join(told, "host", "left").select("host", "rows", "sure", "own", F.when(F.col("sure"), 1.0).otherwise(1 / (1 + F.exp(-odds))).alias("w")), "labels")
+    return state.select("host", "rows", "w")
+
+
+def url_scores(pages: DataFrame, seeds: tuple[str, ...] = SEEDS, rounds: int = 0) -> DataFrame:
     """(page_id, url, words, log_odds, blocked): how each page's address reads.
 
     words: the host segmented, words joined by spaces.  log_odds: of the unwanted class, above 0 is blocked.  A row without URL, or
     an empty one, has no words and the log odds of the classes' shares.  Repeated rows come back each; a
-    null page_id stays null.  Where the seeds mark no host or all, nothing can be told and log_odds is 0.  Other
+    null page_id stays null.  Without ``rounds`` every unseeded host counts as clean.  Where the seeds mark no host or all, nothing can be told and log_odds is 0.  Other
     columns than page_id, url and html are not looked at.
     """
     u = _parts(pages)
@@ -104,16 +129,17 @@ def url_scores(pages: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     own = hosts.select("host", "rows", "bad", F.posexplode(_split("host", r"[^\p{L}\p{N}]+")).alias("k", "piece")).join(seg, "piece")
     words = own.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("k", "words"))).alias("w")).select("host", F.flatten(F.col("w.words")).alias("host_words"))
     words = written(words, "host-words")
-    host_tokens = words.join(hosts, "host").select("host", "bad", "rows", F.explode("host_words").alias("token"))
+    labels = _unlabelled(hosts, words, seeds, rounds) if rounds else hosts.select("host", "rows", F.col("bad").cast("double").alias("w"))
+    host_tokens = words.join(labels, "host").select("host", "w", "rows", F.explode("host_words").alias("token"))
     path = F.transform(_split("path", r"[^\p{L}\p{N}]+"), lambda x: F.when(x.rlike("^[0-9]+$"), F.lit("/#")).otherwise(F.concat(F.lit("/"), x)))
     paths = u.where("host is not null").groupBy("host", "path").agg(F.count("*").alias("rows")).select("host", "rows", F.explode(path).alias("token"))
-    path_tokens = paths.groupBy("host", "token").agg(F.sum("rows").alias("rows")).join(hosts.select("host", "bad"), "host")
+    path_tokens = paths.groupBy("host", "token").agg(F.sum("rows").alias("rows")).join(labels.select("host", "w"), "host")
     ignored = ~F.col("token").isin(*_IGNORED, *[f"/{x}" for x in _IGNORED])
-    seen = host_tokens.select("token", "bad", "rows").union(path_tokens.select("token", "bad", "rows")).where(ignored)
-    model = seen.groupBy("token").agg(F.sum(F.when(F.col("bad"), F.col("rows")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("rows"))).alias("g"))
+    seen = host_tokens.select("token", "w", "rows").union(path_tokens.select("token", "w", "rows")).where(ignored)
+    model = seen.groupBy("token").agg(F.sum(F.col("rows") * F.col("w")).alias("b"), F.sum(F.col("rows") * (1 - F.col("w"))).alias("g"))
     model = written(model, "tokens")
     b, g, v = model.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0)), F.count("*")).first()
-    nb, ng = hosts.agg(F.coalesce(F.sum(F.when(F.col("bad"), F.col("rows"))), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("bad"), F.col("rows"))), F.lit(0))).first()
+    nb, ng = labels.agg(F.coalesce(F.sum(F.col("rows") * F.col("w")), F.lit(0.0)), F.coalesce(F.sum(F.col("rows") * (1 - F.col("w"))), F.lit(0.0))).first()
     if nb and ng:
         ratio = F.log((F.col("b") + SMOOTHING) / (b + SMOOTHING * v)) - F.log((F.col("g") + SMOOTHING) / (g + SMOOTHING * v))
         prior = math.log(nb / ng)

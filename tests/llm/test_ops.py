@@ -271,6 +271,18 @@ def test_urls(spark):
     assert {r["log_odds"] for r in url_filter.url_scores(pages.where("page_id < 50")).collect()} == {0.0}
 
 
+def test_urls_of_unlisted_hosts(spark, tmp_path):
+    clean = [f"http://www.{a}{b}.example.org/en/{k}" for a in ("green", "garden", "news", "river", "stone") for b in ("house", "paper", "walk", "field") for k in range(8)]
+    seeded = [f"http://{h}.example.com/en/{k}" for h in ("casino-win", "free-bets", "lucky-casino", "win-poker", "lucky-bets") for k in range(4)]
+    # run together, in far more pages than the seeded hosts; words of their company only; a word of the list in no other host
+    unlisted = [f"http://{h}.example.net/en/{k}" for h in ("casinowin", "luckycasino", "lucky-win", "spam-field") for k in range(60)]
+    urls = clean + seeded + unlisted
+    html = "<p>green garden news river stone house paper walk field</p>"
+    spark.createDataFrame([(k, u, html) for k, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    blocked = {r["url"] for r in catalog.QUERIES["op4_url_filters"](spark, str(tmp_path)).where("blocked").collect()}
+    assert blocked == {*seeded, *unlisted}
+
+
 # --- 5 ----------------------------------------------------------------------------------------------------------------
 
 
