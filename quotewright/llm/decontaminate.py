@@ -8,7 +8,8 @@ sampled suffix positions; overlapping and touching occurrences become one remova
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import columns, slices
+from .common import columns, fresh, slices
 
 #: Words of a phrase; shorter items of at least LEAST_WORDS are one phrase each.
 PHRASE_WORDS, LEAST_WORDS = 8, 5
@@ -145,8 +146,8 @@ def _coded(h: np.ndarray, vocab: np.ndarray, mark: np.ndarray) -> np.ndarray:
     return out
 
 
-def spans_of(texts: pa.Array, ph: Phrases, mark: np.ndarray) -> list[tuple[int, int, int, int, str]]:
-    """(row, first char, end char, words, items) of every removal span in the shard ``texts``."""
+def spans_of(texts: pa.Array, ph: Phrases, mark: np.ndarray) -> list[tuple[int, int, int, int, int, list[int]]]:
+    """(row, first word, first char, end char, words, items) of every removal span in the shard ``texts``."""
     if not len(ph.vocab):
         return []
     parts = list(T.words(texts))
@@ -194,7 +195,7 @@ def spans_of(texts: pa.Array, ph: Phrases, mark: np.ndarray) -> list[tuple[int,
     for s, (b, e) in enumerate(zip(begin.tolist(), end.tolist())):
         r = int(row[b])
         a, z = T.byte_to_char(texts[r].as_py(), np.array([start_b[b], end_b[e - 1]])).tolist()
-        out.append((r, a, z, e - b, ",".join(map(str, sorted(named[s])))))
+        out.append((r, b - int(np.searchsorted(row, r)), a, z, e - b, sorted(x for x in named[s] if x is not None)))
     return out
 
 
@@ -209,6 +210,53 @@ def _passes(benchmark: DataFrame, n: int, most: int) -> list[Phrases]:
     return [phrases([(r[0], r[1]) for r in items.where(part == k).collect()], n) for k in range(parts)]
 
 
+def _merged(spans: list[tuple]) -> list[tuple[int, int, int, int, list[int]]]:
+    """Spans (first word, first char, end char, words, items) of one text: those that overlap or touch become one."""
+    out: list[list] = []
+    for k, a, z, w, items in sorted(spans):
+        if out and k <= out[-1][0] + out[-1][3]:
+            last = out[-1]
+            if k + w > last[0] + last[3]:
+                last[2], last[3] = z, k + w - last[0]
+            last[4] = sorted({*last[4], *items})
+        else:
+            out.append([k, a, z, w, items])
+    return [tuple(x) for x in out]
+
+
+def _searched(docs: DataFrame, text: str, passes: list[Phrases], last: Callable, schema) -> DataFrame:
+    """``docs`` through all passes, each over the original text.  ``last`` makes the resulting batch of a batch without
+    the carried spans and the merged spans by row; what the passes before the last found is carried in a column."""
+    carry = fresh("qw_spans", docs.columns)
+    names = docs.columns
+
+    def run(ph: Phrases, final: bool):
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mark = ph.mark
+            for batch in slices(batches, text, SHARD_BYTES):
+                by: dict[int, list] = {}
+                if len(passes) > 1:
+                    for r, held in enumerate(batch.column(len(names)).to_pylist()):
+                        if held is not None:
+                            by[r] = [tuple(x) for x in json.loads(held)]
+                for r, *span in spans_of(batch.column(names.index(text)), ph, mark):
+                    by.setdefault(r, []).append(tuple(span))
+                if final:
+                    bare = pa.RecordBatch.from_arrays(batch.columns[: len(names)], schema=pa.schema(list(batch.schema)[: len(names)]))
+                    yield from last(bare, {r: _merged(x) for r, x in sorted(by.items())})
+                else:
+                    held = pa.array([json.dumps(by[r]) if r in by else None for r in range(batch.num_rows)], batch.schema.field(len(names)).type)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], held], schema=batch.schema)
+
+        return each
+
+    if len(passes) > 1:
+        docs = docs.withColumn(carry, F.lit(None).cast("string"))
+    for ph in passes[:-1]:
+        docs = docs.mapInArrow(run(ph, False), docs.schema)
+    return docs.mapInArrow(run(passes[-1], True), schema)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE_WORDS, most: int = PASS_BYTES) -> DataFrame:
     """(doc_id, span_start, span_end, n_words, items): where documents hold phrases of the benchmark.
 
@@ -217,27 +265,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE_WORDS, most: in
     items met, in order, joined by commas (an item without id counts, but isn't named).  A document without
     phrases has no row.  Null and empty texts have none; a null doc_id stays null; repeated
     rows each have their spans.  Other columns are not looked at.  A benchmark beyond ``most`` bytes is
-    searched in several passes, whose spans are not merged with each other.
+    searched in several passes, with the same result.
     """
     src = columns(docs, doc_id="long", text="string")
     fields = pa.schema([("doc_id", pa.int64()), ("span_start", pa.int64()), ("span_end", pa.int64()), ("n_words", pa.int64()), ("items", pa.string())])
 
-    def search(ph: Phrases):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mark = ph.mark
-            for batch in slices(batches, "text", SHARD_BYTES):
-                found = spans_of(batch.column(1), ph, mark)
-                if found:
-                    rows, a, z, w, items = zip(*found)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(a, pa.int64()), pa.array(z, pa.int64()), pa.array(w, pa.int64()), pa.array(items)], schema=fields)
-
-        return run
-
-    out = None
-    for ph in _passes(benchmark, n, most):
-        part = src.mapInArrow(search(ph), "doc_id long, span_start long, span_end long, n_words long, items string")
-        out = part if out is None else out.union(part)
-    return out
+    def rows(batch: pa.RecordBatch, spans: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        found = [(r, a, z, w, ",".join(map(str, items))) for r, of in spans.items() for _, a, z, w, items in of]
+        if found:
+            at, a, z, w, items = zip(*found)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(a, pa.int64()), pa.array(z, pa.int64()), pa.array(w, pa.int64()), pa.array(items)], schema=fields)
+
+    return _searched(src, "text", _passes(benchmark, n, most), rows, "doc_id long, span_start long, span_end long, n_words long, items string")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE_WORDS, most: int = PASS_BYTES) -> DataFrame:
@@ -250,40 +289,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE_WORDS,
     text_at = next(i for i, c in enumerate(names) if c.lower() == "text")
     size_at = next((i for i, c in enumerate(names) if c.lower() == "n_chars"), None)
 
-    def cut(ph: Phrases):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mark = ph.mark
-            for batch in slices(batches, names[text_at], SHARD_BYTES):
-                found = spans_of(batch.column(text_at), ph, mark)
-                if not found:
-                    yield batch
-                    continue
-                by: dict[int, list] = {}
-                for r, a, z, *_ in sorted(found):
-                    by.setdefault(r, []).append((a, z))
-                texts = batch.column(text_at).to_pylist()
-                stay = np.ones(len(texts), bool)
-                sizes = batch.column(size_at).to_pylist() if size_at is not None else None
-                for r, spans in by.items():
-                    t, at, left = texts[r], 0, []
-                    for a, z in spans:
-                        left.append(t[at:a])
-                        at = z
-                    texts[r] = "".join([*left, t[at:]])
-                    stay[r] = any(c.isalnum() for c in texts[r])
-                    if sizes is not None:
-                        sizes[r] = len(texts[r])
-                cols = list(batch.columns)
-                cols[text_at] = pa.array(texts, batch.column(text_at).type)
-                if sizes is not None:
-                    cols[size_at] = pa.array(sizes, batch.column(size_at).type)
-                yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(pa.array(stay))
-
-        return run
-
-    for ph in _passes(benchmark, n, most):
-        docs = docs.mapInArrow(cut(ph), docs.schema)
-    return docs
+    def cut(batch: pa.RecordBatch, spans: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        if not spans:
+            yield batch
+            return
+        texts = batch.column(text_at).to_pylist()
+        stay = np.ones(len(texts), bool)
+        sizes = batch.column(size_at).to_pylist() if size_at is not None else None
+        for r, of in spans.items():
+            t, at, left = texts[r], 0, []
+            for _, a, z, *_ in of:
+                left.append(t[at:a])
+                at = z
+            texts[r] = "".join([*left, t[at:]])
+            stay[r] = any(c.isalnum() for c in texts[r])
+            if sizes is not None:
+                sizes[r] = len(texts[r])
+        cols = list(batch.columns)
+        cols[text_at] = pa.array(texts, batch.column(text_at).type)
+        if sizes is not None:
+            cols[size_at] = pa.array(sizes, batch.column(size_at).type)
+        yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(pa.array(stay))
+
+    return _searched(docs, names[text_at], _passes(benchmark, n, most), cut, docs.schema)
 
 
 _W = "[0-9a-zA-Z\\x{C0}-\\x{1FFF}\\x{2040}-\\x{2FFF}\\x{3040}-\\x{10FFFF}]"

@@ -216,6 +216,22 @@ def test_cut_texts(spark):
     assert got == want and (60, "", 0) not in got
 
 
+def test_passes_give_the_same(spark):
+    rows, items, docs, bench = leaky(spark)
+    # phrases of two items overlap, and a cut of one leaves less than a phrase of the other; words that a cut would join
+    rnd = random.Random(8)
+    a, b = prose(12, rnd).split(), prose(12, rnd).split()
+    more = [(200 + k, " ".join(x)) for k, x in enumerate([a, a[6:] + b[:6], b, ["alpha", *a[:4], *b[8:], "omega"]])]
+    bench = bench.union(spark.createDataFrame(more, bench.schema))
+    docs = docs.union(table(spark, [(900, "start " + " ".join(a + b) + " end of it"), (901, " ".join(["alpha", *a[:4], *b, *b[8:], "omega"])), (902, "start " + " ".join(a[6:] + b[:6]) + " é end")]))
+    want = collected(decontaminate.leaks(docs, bench))
+    left = collected(decontaminate.decontaminate(docs, bench))
+    assert want == slow_leaks([(r["doc_id"], r["text"]) for r in docs.collect()], [*items, *more])
+    for most in (1000, 300, 100):
+        assert collected(decontaminate.leaks(docs, bench, most=most)) == want
+        assert collected(decontaminate.decontaminate(docs, bench, most=most)) == left
+
+
 # --- 4 ----------------------------------------------------------------------------------------------------------------
 
 
