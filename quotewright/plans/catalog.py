@@ -498,6 +498,6 @@ def word_vectors(spark: SparkSession, d: str) -> DataFrame:
 def classified_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of the rules, judged by a classifier fitted on whether the rules gave them full score."""
     q, s = _items(spark, d), _docs(spark, d)
-    found = rules.rule_based(q, s, top_k=10)
+    found = rules.rule_based(q, s)
     gold = found.select("query_id", "source_id", (F.col("candidate_score") >= 1).cast("int").alias("label"))
     return models.judge_pairs(found, q, s, models.fit_pair_classifier(gold, q, s))
