@@ -1,12 +1,14 @@
 """N-gram Jaccard join by MinHash banding, every candidate verified on its full n-gram sets.
 
 1. One pass hashes the word n-grams of each text and keeps minima; texts of the same word sequence share a
-   fingerprint and go on as one node.
-2. (band hash, node) rows are shuffled on the band hash; the nodes of a bucket become a star of edges, and
-   the stars become components.
+   64-bit fingerprint and go on as one node.
+2. Rows (band hash, node) are shuffled on the band hash.  Within a bucket nodes whose sketches (a byte of each of 64 minima) agree as
+   texts at the threshold would are tied together; a bucket of more than BUCKET rows ties all its nodes to its least one.  So
+   nodes that share a band by chance part again, and components are groups of texts that look alike.
 3. Each node's full set is sent once to its component, where all pairs are intersected exactly.  A component
    too large for one task is cut into blocks and every pair of blocks is a task, so no pair is left out
-   however many copies there are.
+   however many copies there are.  A task returns a row per node, how many documents it is linked to and the least node it
+   reaches, never the pairs.
 """
 
 from __future__ import annotations
@@ -20,72 +22,138 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import columns, fresh, text_hash, written
+from .common import columns, drop_written, fresh, text_hash, written
 from .graph import components
 
-#: Words of a gram, Jaccard similarity from which two texts pair (that of a text and its copy with a tenth of the words
-#: changed is 0.57), recall that banding aims at there, and how many hashes it may take.
-N, THRESHOLD, RECALL, MOST_HASHES = 3, 0.55, 0.98, 170
-#: Grams and texts of one block of a component.
-BLOCK_GRAMS, BLOCK_NODES = 2_000_000, 2_000
+#: Words of a gram, Jaccard similarity from which two texts are linked (that of a text and its copy with a tenth of the words
+#: changed is 0.57 in the mean, 0.53 if the changes are spread evenly), recall that banding aims at there, and how many hashes
+#: it may take to have more than one row a band.
+N, THRESHOLD, RECALL, MOST_HASHES = 3, 0.5, 0.98, 256
+#: Grams and texts of one block of a component; rows of a bucket whose sketches are compared with each other.
+BLOCK_GRAMS, BLOCK_NODES, BUCKET = 2_000_000, 2_000, 512
+#: Bytes of a sketch, and deviations that its agreement may fall short of the threshold.
+SKETCH, SIGMAS = 64, 4.0
 _U = np.uint64
-_RNG = np.random.default_rng(7)
-_MUL = _RNG.integers(1, 1 << 63, 1024, dtype=np.uint64) | _U(1)
-_ADD = _RNG.integers(0, 1 << 63, 1024, dtype=np.uint64)
+
+
+def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and summands of ``n`` hash functions."""
+    rng = np.random.default_rng(7)
+    both = rng.integers(0, 1 << 63, (n, 2), dtype=np.uint64)
+    return both[:, 0] | _U(1), both[:, 1]
 
 
 def choose_bands(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
-    """(bands, rows): the most rows a band whose bands find a pair at ``threshold`` with ``recall``,
-    within ``most`` hashes."""
-    best = (most, 1)
-    for rows in range(1, most + 1):
+    """(bands, rows): the most rows a band whose bands find a pair at ``threshold`` with ``recall``, within ``most``
+    hashes; one row a band if even that takes more.  Values outside (0, 1) are ValueErrors (a threshold may be 1)."""
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError("threshold and recall must lie between 0 and 1")
+    best = None
+    for rows in range(1, max(1, most) + 1):
         p = threshold**rows
-        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-p))
-        if bands * rows <= most:
+        if best and p < 1e-9:
+            break
+        bands = 1 if p >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log1p(-p)))
+        if best is None or bands * rows <= most:
             best = (bands, rows)
     return best
 
 
+def least_agreement(threshold: float) -> int:
+    """Of SKETCH bytes, how many agree in all but a few in 100 000 pairs of texts at the threshold."""
+    return math.ceil(SKETCH * threshold - SIGMAS * math.sqrt(SKETCH * threshold * (1 - threshold)))
+
+
 def sequence_hash(w: T.Words) -> np.ndarray:
     """One hash per text of its words in order."""
     return T.window_hash(w.hash, w.ptr[:-1], w.ptr[1:]) if len(w.hash) else np.zeros(w.n_docs, np.uint64)
 
 
 def _signatures(n: int, bands: int, rows: int):
+    mul, add = _constants(max(bands * rows, SKETCH))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_id, th, texts = (batch.column(k) for k in range(3))
             for w in T.words(texts):
                 g, ptr = T.grams(w, n)
                 some = np.flatnonzero(np.diff(ptr) > 0)
-                sig = np.empty((len(some), bands), np.int64)
+                sig, sketch = np.empty((len(some), bands), np.int64), np.empty((len(some), SKETCH), np.uint8)
                 if len(some):
                     at = ptr[:-1][some]
-                    for b in range(bands):
-                        h = np.full(len(some), b, np.uint64)
-                        for k in range(b * rows, b * rows + rows):
-                            h = T.mix(h ^ np.minimum.reduceat((g * _MUL[k] + _ADD[k]) >> _U(16), at))
-                        sig[:, b] = h.view(np.int64)
+                    for k in range(len(mul)):
+                        least = np.minimum.reduceat((g * mul[k] + add[k]) >> _U(16), at)
+                        if k < SKETCH:
+                            sketch[:, k] = T.mix(least).astype(np.uint8)
+                        b, row = divmod(k, rows)
+                        if b < bands:
+                            h = T.mix((h if row else np.full(len(some), b, np.uint64)) ^ least)
+                            sig[:, b] = h.view(np.int64)
                 take = pa.array(w.first + some)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(sig.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [doc_id.take(take), th.take(take), pa.array(sequence_hash(w)[some].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(sig.ravel()))],
-                    names=["doc_id", "th", "node", "sig"],
+                    [doc_id.take(take), th.take(take), pa.array(sequence_hash(w)[some].view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary()), flat],
+                    names=["doc_id", "th", "node", "sketch", "sig"],
                 )
 
     return run
 
 
+def tied(sketches: np.ndarray, least: int) -> np.ndarray:
+    """For buckets (bucket, node, byte): the first node of its bucket that each reaches by agreeing sketches."""
+    m = sketches.shape[1]
+    alike = (sketches[:, :, None, :] == sketches[:, None, :, :]).sum(axis=3, dtype=np.int32) >= least
+    label = np.tile(np.arange(m), (len(sketches), 1))
+    while True:
+        now = np.minimum(label, np.where(alike, label[:, None, :], m).min(axis=2))
+        if (now == label).all():
+            return label
+        label = now
+
+
+def _plausible(least: int):
+    """Edges (a, b) within buckets: rows (h, node, sketch) come sorted by h."""
+
+    def edges(h: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.concatenate([begin, [len(h)]]))
+        for m in np.unique(size[size > 1]).tolist():
+            of = begin[size == m]
+            step = max(1, (1 << 24) // (m * m * SKETCH))
+            for k in range(0, len(of), step):
+                at = of[k : k + step, None] + np.arange(m)
+                label = tied(sketch[at], least)
+                to = np.take_along_axis(at, label, 1)
+                moved = at != to
+                if moved.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at[moved]]), pa.array(node[to[moved]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SKETCH), np.uint8))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = (np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, SKETCH))
+            h, node, sketch = (np.concatenate(x) for x in zip(held, new))
+            cut = int(np.searchsorted(h, h[-1]))  # the last bucket may go on
+            if cut:
+                yield from edges(h[:cut], node[:cut], sketch[:cut])
+            held = (h[cut:], node[cut:], sketch[cut:])
+        if len(held[0]):
+            yield from edges(*held)
+
+    return run
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, comp, texts = (batch.column(k) for k in range(3))
+            node, comp, docs, texts = (batch.column(k) for k in range(4))
             for w in T.words(texts):
                 g, ptr = T.grams(w, n)
                 sets = [np.unique(g[a:b]) for a, b in zip(ptr[:-1], ptr[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [node.slice(w.first, w.n_docs), comp.slice(w.first, w.n_docs), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["node", "comp", "size", "grams"],
-                )
+                own = [c.slice(w.first, w.n_docs) for c in (node, comp, docs)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "comp", "docs", "size", "grams"])
 
     return run
 
@@ -128,75 +196,106 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
 
 
 def _verify(threshold: float):
+    """Rows (node, links, label) of the nodes of one or two blocks: linked documents, and the least node reached by links."""
+
     def run(key: tuple, t: pa.Table) -> pa.Table:
         bi, bj = key[1].as_py(), key[2].as_py()
-        node, block = np.asarray(t["node"]), np.asarray(t["block"])
+        node, block, docs = np.asarray(t["node"]), np.asarray(t["block"]), np.asarray(t["docs"])
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in t["grams"]]
         size = np.array([len(s) for s in sets], np.float32)
         left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
         both = intersections(sets, left, left if bi == bj else right)
         jac = both / np.maximum(1, size[left][:, None] + size[right][None, :] - both)
         x, y = np.nonzero(jac >= np.float32(threshold) - 1e-6)
-        a, b = node[left[x]], node[right[y]]
         exact = both[x, y].astype(np.float64) / (size[left[x]].astype(np.float64) + size[right[y]] - both[x, y])
-        ok = (a < b if bi == bj else a != b) & (exact >= threshold - 1e-12)
-        a, b, exact = a[ok], b[ok], exact[ok]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "jaccard": pa.array(exact, pa.float64())})
+        x, y = left[x], right[y]
+        ok = (x != y) & (exact >= threshold - 1e-12)
+        x, y = x[ok], y[ok]
+        links = np.bincount(x, weights=docs[y], minlength=len(node))
+        if bi != bj:
+            links += np.bincount(y, weights=docs[x], minlength=len(node))
+        label = node.copy()
+        while True:
+            before = label.copy()
+            least = np.minimum(label[x], label[y])
+            np.minimum.at(label, x, least)
+            np.minimum.at(label, y, least)
+            if (before == label).all():
+                break
+        return pa.table({"node": pa.array(node), "links": pa.array(links.astype(np.int64)), "label": pa.array(label)})
 
     return run
 
 
-def _nodes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, node) of every text that has words, and verified (a, b, jaccard) pairs of nodes."""
+def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, node) of every row that has words, and (node, links, label) of the nodes that have links to others: links counts
+    documents, one label stands for all nodes linked directly or through others."""
     bands, rows = choose_bands(threshold, recall)
     src = columns(docs, doc_id="long", text="string").withColumn("th", text_hash()).select("doc_id", "th", "text")
-    sig = written(src.mapInArrow(_signatures(n, bands, rows), "doc_id long, th long, node long, sig array<long>"), "signatures")
-    members = sig.select("doc_id", "th", "node")
-    hit = sig.select(F.explode("sig").alias("h"), "node").distinct()
-    star = F.first("node").over(Window.partitionBy("h").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-    edges = hit.select("node", star.alias("hub")).where("node <> hub")
-    comp = written(components(edges), "components")
+    sig = written(src.mapInArrow(_signatures(n, bands, rows), "doc_id long, th long, node long, sketch binary, sig array<long>"), "signatures")
+    members = written(sig.select("doc_id", "th", "node"), "members")
+    hit = sig.select(F.explode("sig").alias("h"), "node")
+    # least and greatest node of a bucket combine on the map side, however hot it is
+    buckets = written(hit.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("other"), F.count("*").alias("rows")).where("hub <> other"), "buckets")
+    # two rows are the two nodes; of more, all are fetched
+    pairs = buckets.where("rows = 2").select(F.col("hub").alias("node"), "h").union(buckets.where("rows = 2").select("other", "h"))
+    more = hit.join(buckets.where(f"rows > 2 and rows <= {BUCKET}").select("h"), "h", "left_semi").select("node", "h")
+    sketches = sig.groupBy("node").agg(F.first("sketch").alias("sketch"))
+    compared = pairs.union(more.distinct()).join(sketches, "node").select("h", "node", "sketch").repartition("h").sortWithinPartitions("h", "node")
+    edges = compared.mapInArrow(_plausible(least_agreement(threshold)), "a long, b long")
+    crowded = hit.join(buckets.where(f"rows > {BUCKET}").select("h", "hub"), "h").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    comp = written(components(edges.union(crowded)), "components")
     # of the texts that share a node one stands for all
+    weight = members.select("doc_id", "node").distinct().groupBy("node").agg(F.count("*").alias("docs"))
     chosen = members.join(comp, "node", "left_semi").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("k"))
-    chosen = chosen.join(comp, "node").select("node", "comp", F.col("k.th").alias("th"), F.col("k.doc_id").alias("doc_id"))
-    texts = src.alias("s").join(chosen.alias("c").hint("shuffle_hash"), F.expr("s.th = c.th and s.doc_id <=> c.doc_id")).select("c.node", "c.comp", "s.text")
-    sets = texts.mapInArrow(_sets(n), "node long, comp long, size long, grams binary").dropDuplicates(["node"])
-    sets = written(sets, "sets")
-    weight = sets.groupBy("comp").agg(F.sum("size").alias("grams"), F.count("*").alias("nodes")).where("nodes > 1")
-    blocks = weight.select("comp", F.greatest(F.ceil(F.col("grams") / BLOCK_GRAMS), F.ceil(F.col("nodes") / BLOCK_NODES)).cast("int").alias("nb"))
+    chosen = chosen.join(comp, "node").join(weight, "node").select("node", "comp", "docs", F.col("k.th").alias("th"), F.col("k.doc_id").alias("doc_id"))
+    # the build side has 40 bytes a row, in partitions that are sized for texts
+    texts = src.alias("s").join(chosen.alias("c").hint("shuffle_hash"), F.expr("s.th = c.th and s.doc_id <=> c.doc_id")).select("c.node", "c.comp", "c.docs", "s.text")
+    sets = written(texts.mapInArrow(_sets(n), "node long, comp long, docs long, size long, grams binary").dropDuplicates(["node"]), "sets")
+    size = sets.groupBy("comp").agg(F.sum("size").alias("grams"), F.count("*").alias("nodes")).where("nodes > 1")
+    blocks = size.select("comp", F.greatest(F.ceil(F.col("grams") / BLOCK_GRAMS), F.ceil(F.col("nodes") / BLOCK_NODES)).cast("int").alias("nb"))
     placed = sets.join(blocks, "comp").withColumn("block", F.expr("cast(pmod(xxhash64(node), nb) as int)"))
-    sent = placed.select("comp", "node", "block", "grams", F.explode(F.expr("sequence(0, nb - 1)")).alias("o"))
-    sent = sent.select("comp", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), "node", "block", "grams")
-    pairs = sent.groupBy("comp", "bi", "bj").applyInArrow(_verify(threshold), "a long, b long, jaccard double")
-    return members, pairs
+    sent = placed.select("comp", "node", "docs", "block", "grams", F.explode(F.expr("sequence(0, nb - 1)")).alias("o"))
+    sent = sent.select("comp", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), "node", "docs", "block", "grams")
+    found = sent.groupBy("comp", "bi", "bj").applyInArrow(_verify(threshold), "node long, links long, label long").where("links > 0")
+    found = written(found, "found")
+    # labels of different tasks meet where a component has several blocks
+    joined = components(found.select("node", "label"))
+    total = found.groupBy("node").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
+    linked = written(total.join(joined, "node", "left").select("node", "links", F.coalesce("comp", "label").alias("label")), "linked")
+    for done in (sig, buckets, comp, sets, found):
+        drop_written(done)
+    return members, linked
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: all pairs of texts whose sets of word ``n``-grams have a Jaccard
-    similarity of at least ``threshold``.
-
-    A text of fewer than ``n`` words has one gram, all its words; one without words (null and empty texts too)
-    pairs with none.  Rows without doc_id can't be named and don't occur.  Rows that share a doc_id
-    are no pair with each other, and a pair of doc_ids occurs once, with the largest similarity.  Other columns are
-    not looked at; an empty table gives an empty result.  Banding finds a pair at the threshold with a
-    probability of ``recall``, a closer one with a higher; those found are verified exactly.
+    """(doc_id, class_id, links): every document that is linked to another, a row each.
+
+    A document is a doc_id with a text; rows that repeat both are one document, rows of one doc_id with different words are
+    different ones.  Two documents are linked if their sets of word ``n``-grams have a Jaccard similarity of at least
+    ``threshold``; links is to how many others.  class_id is the least doc_id of all documents linked directly or through
+    others.  A text of fewer than ``n`` words has one gram, all its words; one without words (null and empty texts too) is
+    linked to none.  A document without links has no row.  Rows without doc_id count like others and have a null doc_id (class_id is null only if all
+    of a class are).  Texts of the same words in the same order (64-bit hashes of them) are equal; ties can't occur, as nothing is ranked.  Texts of any
+    length are taken whole.  Other columns are not looked at; an empty table gives an empty result.  Banding finds a
+    link at the threshold with a probability of ``recall``, a closer one with a higher; those found are verified exactly.
     """
-    members, pairs = _nodes(docs, n, threshold, recall)
-    named = members.where("doc_id is not null").select("doc_id", "node").distinct()
-    one, two = named.select(F.col("doc_id").alias("x"), F.col("node").alias("a")), named.select(F.col("doc_id").alias("y"), F.col("node").alias("b"))
-    near = pairs.join(one, "a").join(two, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    same = one.join(two, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return near.where("doc_a <> doc_b").union(same).groupBy("doc_a", "doc_b").agg(F.round(F.max("jaccard"), 9).alias("jaccard"))
+    members, linked = _linked(docs, n, threshold, recall)
+    named = members.select("doc_id", "node").distinct()
+    own = named.groupBy("node").agg(F.count("*").alias("docs"), F.min("doc_id").alias("least"))
+    known = own.join(linked, "node", "left").select("node", "least", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("links"), F.coalesce("label", "node").alias("label")).where("links > 0")
+    known = written(known, "classes")
+    least = known.groupBy("label").agg(F.min("least").alias("class_id"))
+    return named.join(known.join(least, "label").select("node", "class_id", "links"), "node").select("doc_id", "class_id", "links")
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``docs`` without near copies: of each group, linked by pairs of :func:`jaccard_join`, the row of the smallest
-    (doc_id, text hash) stays, null doc_id last; of rows equal in doc_id and text one stays.  Texts without words all
-    stay.  All columns come back, whatever their names.
+    """``docs`` without near copies: of each class of :func:`jaccard_join` the row of the smallest
+    (doc_id, text hash) stays, null doc_id last; of rows equal in doc_id and text one stays.  Texts without words (null and empty ones too) all
+    stay.  Texts of any length are taken whole.  All columns come back, whatever their names; an empty table gives an empty result.
     """
-    members, pairs = _nodes(docs, n, threshold, recall)
-    links = written(components(pairs.select("a", "b")), "groups")
-    grouped = members.join(links, "node", "left").select("doc_id", "th", F.coalesce("comp", "node").alias("g"))
+    members, linked = _linked(docs, n, threshold, recall)
+    grouped = members.join(linked, "node", "left").select("doc_id", "th", F.coalesce("label", "node").alias("g"))
     first = grouped.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("k"), F.count("*").alias("n")).where("n > 1")
     judged = grouped.join(first, "g")
     lost = judged.where(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("th") == F.col("k.th")))).select("doc_id", "th").distinct()
@@ -206,6 +305,7 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     drop = lost.select(F.col("doc_id").alias(x), F.col("th").alias(y)).distinct()
     rows = docs.withColumn(th, text_hash())
     on = (F.col(th) == F.col(y)) & F.col("`doc_id`").eqNullSafe(F.col(x))
+    # the build side has 16 bytes a row, in partitions that are sized for texts
     rows = rows.join(drop.hint("shuffle_hash"), on, "left_anti")
     twice = written(again.join(lost, ["doc_id", "th"], "left_anti").select(F.col("doc_id").alias(x), F.col("th").alias(y)), "twice")
     if twice.isEmpty():
@@ -219,11 +319,13 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
 
 _WORD = "[0-9a-zA-Z\\x{C0}-\\x{1FFF}\\x{2040}-\\x{2FFF}\\x{3040}-\\x{10FFFF}]+"
 SQL = f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS x FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS x FROM documents),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(x) = 0 THEN [] WHEN len(x) < {N} THEN [array_to_string(x, ' ')]
         ELSE list_transform(range(1, len(x) - {N} + 2), lambda i: array_to_string(x[i:i + {N - 1}], ' ')) END) AS gram FROM w),
 s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, round(p.n::DOUBLE / (x.n + y.n - p.n), 9) AS jaccard
-FROM p JOIN s x ON x.doc_id = doc_a JOIN s y ON y.doc_id = doc_b WHERE p.n::DOUBLE / (x.n + y.n - p.n) >= {THRESHOLD}
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE p.n::DOUBLE / (x.n + y.n - p.n) >= {THRESHOLD}),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+SELECT r.a AS doc_id, min(r.b) AS class_id, any_value(links) AS links FROM r JOIN c ON c.a = r.a GROUP BY r.a
 """

@@ -358,34 +358,75 @@ def test_class_prior():
 # --- 6 ----------------------------------------------------------------------------------------------------------------
 
 
-def slow_pairs(rows, n=jaccard_join.N, t=jaccard_join.THRESHOLD):
-    sets = [(i, {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}) for i, x in rows if i is not None and (w := words(x))]
-    out = {}
-    for a, x in sets:
-        for b, y in sets:
-            if a < b and (j := len(x & y) / len(x | y)) >= t:
-                out[a, b] = max(out.get((a, b), 0), round(j, 9))
-    return {(a, b, j) for (a, b), j in out.items()}
+def slow_classes(rows, n=jaccard_join.N, t=jaccard_join.THRESHOLD):
+    """(doc_id, class_id, links) of every document, a doc_id with a sequence of words, that is linked to another."""
+    docs = sorted({(i, tuple(w)) for i, x in rows if (w := words(x))}, key=repr)
+    sets = [{w[k : k + n] for k in range(max(1, len(w) - n + 1))} for _, w in docs]
+    near = [[b for b in range(len(docs)) if a != b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t] for a in range(len(docs))]
+    out = []
+    for a in range(len(docs)):
+        seen, todo = {a}, [a]
+        while todo:
+            todo = [b for x in todo for b in near[x] if b not in seen]
+            seen |= set(todo)
+        if near[a]:
+            out.append((docs[a][0], min((docs[b][0] for b in seen if docs[b][0] is not None), default=None), len(near[a])))
+    return sorted(out, key=repr)
 
 
 def test_jaccard_join(spark, docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    want = slow_pairs(rows)
-    got = set(map(tuple, jaccard_join.jaccard_join(docs.withColumn("node", F.lit(1)).withColumn("comp", F.lit("x"))).collect()))
-    assert got <= want and len(got) >= 0.95 * len(want) > 20
+    want = slow_classes(rows)
+    got = collected(jaccard_join.jaccard_join(docs.withColumn("node", F.lit(1)).withColumn("comp", F.lit("x")).withColumn("links", F.lit(0))))
+    assert got == want and len(want) > 20
     assert jaccard_join.jaccard_join(docs.limit(0)).count() == 0
+    assert collected(jaccard_join.jaccard_join(table(spark, [(None, "all of these have no id"), (None, "All of these have no id!"), (4, "one two three")]))) == []
+    assert collected(jaccard_join.jaccard_join(table(spark, [(None, "a b c d e f g h i j"), (9, "a b c d e f g h i j"), (9, "a b c d e f g h i k")]))) == [(9, 9, 2), (9, 9, 2), (None, 9, 2)]
 
 
-def test_large_components_are_cut_into_blocks(spark, docs, monkeypatch):
-    whole = collected(jaccard_join.jaccard_join(docs))
-    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 2)
-    monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", 300)
-    assert collected(jaccard_join.jaccard_join(docs)) == whole
+@pytest.mark.parametrize("changed", [{"BLOCK_NODES": 2, "BLOCK_GRAMS": 300}, {"BUCKET": 2}, {"BLOCK_NODES": 3, "BUCKET": 4}])
+def test_blocks_and_crowded_buckets_change_nothing(spark, docs, monkeypatch, changed):
+    rnd = random.Random(6)
+    base = prose(200, rnd).split(" ")
+    # a chain: neighbours are alike, the ends aren't
+    chain = [(800 + k, " ".join([*base[k * 8 :], *(f"new{x}" for x in range(k * 8))])) for k in range(12)]
+    more = docs.union(table(spark, chain))
+    for k, v in changed.items():
+        monkeypatch.setattr(jaccard_join, k, v)
+    assert collected(jaccard_join.jaccard_join(more)) == slow_classes([(r["doc_id"], r["text"]) for r in more.collect()])
 
 
 def test_recall_at_the_threshold():
-    bands, rows = jaccard_join.choose_bands(0.7, 0.96)
-    assert bands * rows <= jaccard_join.MOST_HASHES and 1 - (1 - 0.7**rows) ** bands >= 0.96
+    for t, recall in ((jaccard_join.THRESHOLD, jaccard_join.RECALL), (0.7, 0.96), (0.95, 0.5), (1.0, 0.9), (0.01, 0.9999)):
+        bands, rows = jaccard_join.choose_bands(t, recall)
+        assert 1 - (1 - t**rows) ** bands >= recall and (rows == 1 or bands * rows <= jaccard_join.MOST_HASHES)
+    for t, recall in ((0, 0.9), (1.1, 0.9), (0.5, 1.0), (0.5, 0)):
+        with pytest.raises(ValueError):
+            jaccard_join.choose_bands(t, recall)
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    rnd = random.Random(12)
+    rows = []
+    for k in range(400):
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(122)]
+        other = list(w)
+        for x in range(len(w) // 3):  # 40 changes spread evenly leave a third of the 3-grams or less
+            if x % 5 < 1 + k % 2:
+                other[x * 3] = f"v{rnd.randrange(10**6)}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    want = slow_classes(rows)
+    got = jaccard_join.jaccard_join(table(spark, rows)).count()
+    assert 0.96 * len(want) <= got <= len(want) and len(want) > 300
+
+
+def test_tied_sketches():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 256, (3, 2, jaccard_join.SKETCH), dtype=np.uint8)
+    mixed = base[:, [0, 1, 0, 1, 0]].copy()
+    for k in range(5):
+        mixed[:, k, k * 6 : k * 6 + 6] = rng.integers(0, 256, (3, 6))
+    assert (jaccard_join.tied(mixed, jaccard_join.least_agreement(0.5)) == [0, 1, 0, 1, 0]).all()
 
 
 def test_intersections():
@@ -404,15 +445,9 @@ def test_one_of_each_group_stays(spark, docs):
     out = jaccard_join.keep_one(docs.withColumn("qw_text", F.lit("clash")).withColumn("g", F.lit(1)))
     assert out.columns == [*docs.columns, "qw_text", "g"]
     got = [(r["doc_id"], r["text"]) for r in out.collect()]
-    parent = {i: i for i, _ in rows}
-
-    def root(i):
-        return i if parent[i] == i else root(parent[i])
-
-    for a, b, _ in sorted(jaccard_join.jaccard_join(docs).collect()):
-        parent[max(root(a), root(b))] = min(root(a), root(b))
+    cls = {i: c for i, c, _ in slow_classes(rows)}
     kept = Counter(i for i, t in got if i is not None and i >= 100)
-    assert kept == Counter({root(i) for i, _ in rows if i is not None and i >= 100})
+    assert kept == Counter({cls.get(i, i) for i, _ in rows if i is not None and i >= 100})
     assert got.count((7, "same row")) == 1 and (7, "other text, same id") in got and (1, None) in got and (2, "") in got
     assert jaccard_join.keep_one(docs.limit(0)).count() == 0
 
