@@ -8,6 +8,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from quotewright.functions import text as tx
 from quotewright.functions.stopwords import CONTEXTUAL
 
 _ORDER = ("row_id", "pos")
-#: Sources of a block that approximate search scores at once; queries whose exact neighbours set its bucket length.
+#: Rows of a block of vectors that one task multiplies; queries whose exact neighbours set the bucket length of approximate search.
 BLOCK, SAMPLED = 20_000, 64
 
 
@@ -55,46 +56,79 @@ def unit(vector: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
 
 
+def _vector_side(segments: DataFrame, side: str, vector: str, name: str) -> DataFrame:
+    """Unit vectors of a side; rows without a vector are left out."""
+    return _side(segments, side, unit(F.col(vector)).alias(name)).where(F.col(name).isNotNull())
+
+
 def embedding(query: DataFrame, source: DataFrame, *, top_k: int | None = 100, vector: str = "embedding", digits: int | None = None, **_: object) -> DataFrame:
     """Cosine of the column ``vector`` of both sides, exact; the ``top_k`` nearest of each query.
 
-    Every query is scored against every source in parallel; the window keeps top_k rows a task before the shuffle."""
-    q = _side(query, "query", unit(F.col(vector)).alias("v")).drop("query_order")
-    s = _side(source, "source", unit(F.col(vector)).alias("u"))
-    score = dot(F.col("v"), F.col("u"))
-    score = F.round(score, digits) if digits is not None else score
-    return ranked(q.crossJoin(s).select("query_id", "source_id", "source_order", score.alias("candidate_score")), top_k)
+    Both sides are dealt to blocks of BLOCK rows or so, and every pair of blocks is a task: one matrix product, of which each
+    query's ``top_k`` best go on.  With ``digits`` scores are rounded before they are ranked.  Rows without a vector are
+    left out; a zero vector scores 0.  Without ``top_k`` the result has |query| x |source| rows by definition."""
+    q, s = _vector_side(query, "query", vector, "v").drop("query_order"), _vector_side(source, "source", vector, "u")
+    scored = q.crossJoin(s).select("query_id", "source_id", "source_order", dot(F.col("v"), F.col("u")).alias("candidate_score")) if top_k is None else exact_scores(q, s, top_k, digits)
+    if digits is not None:
+        scored = scored.withColumn("candidate_score", F.round("candidate_score", digits))
+    return ranked(scored, top_k)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
+    return np.asarray(flat).reshape(len(column), -1)
+
+
+_SCORED = pa.schema([("query_id", pa.string()), ("source_id", pa.string()), ("r", pa.int64()), ("p", pa.int64()), ("candidate_score", pa.float64())])
 
 
-def _nearest_of_block(k: int):
-    def run(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+def _nearest_of_block(k: int, digits: int | None):
+    def run(q: pa.Table, s: pa.Table) -> pa.Table:
+        if not q.num_rows or not s.num_rows:
+            return _SCORED.empty_table()
+        s = s.sort_by([("r", "ascending"), ("p", "ascending"), ("source_id", "ascending")])
+        v, u = _matrix(q["v"]), _matrix(s["u"])
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(q) and len(s):
-            s = s.iloc[sorted(range(len(s)), key=lambda i: (s["r"].iat[i], s["p"].iat[i], s["source_id"].iat[i]))]
-            u, v = np.stack(s["u"].to_numpy()), np.stack(q["v"].to_numpy())
-            step = max(1, (1 << 22) // len(s))
-            for at in range(0, len(q), step):
-                score = v[at : at + step] @ u.T
-                if len(s) > k:
-                    pick = np.argpartition(-score, k - 1, axis=1)[:, :k]
-                    least = np.take_along_axis(score, pick, 1).min(axis=1)
-                    for i in np.flatnonzero((score >= least[:, None]).sum(axis=1) > k):  # ties go by source order
-                        above, same = np.flatnonzero(score[i] > least[i]), np.flatnonzero(score[i] == least[i])
-                        pick[i] = np.concatenate([above, same[: k - len(above)]])
-                else:
-                    pick = np.tile(np.arange(len(s)), (len(score), 1))
-                found.append((np.repeat(np.arange(at, at + len(score)), pick.shape[1]), pick.ravel(), np.take_along_axis(score, pick, 1).ravel()))
-        i, j, c = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "source_id": s["source_id"].to_numpy()[j], "r": s["r"].to_numpy()[j], "p": s["p"].to_numpy()[j], "candidate_score": c})
+        step = max(1, (1 << 22) // len(u))
+        for at in range(0, len(v), step):
+            score = v[at : at + step] @ u.T
+            rated = score if digits is None else np.round(score, digits)
+            if len(u) > k:
+                pick = np.argpartition(-rated, k - 1, axis=1)[:, :k]
+                least = np.take_along_axis(rated, pick, 1).min(axis=1)
+                for i in np.flatnonzero((rated >= least[:, None]).sum(axis=1) > k):  # ties go by source order
+                    above, same = np.flatnonzero(rated[i] > least[i]), np.flatnonzero(rated[i] == least[i])
+                    pick[i] = np.concatenate([above, same[: k - len(above)]])
+            else:
+                pick = np.tile(np.arange(len(u)), (len(score), 1))
+            found.append((np.repeat(np.arange(at, at + len(score)), pick.shape[1]), pick.ravel(), np.take_along_axis(score, pick, 1).ravel()))
+        i, j, c = (np.concatenate(x) for x in zip(*found))
+        i, j = pa.array(i), pa.array(j)
+        return pa.table([q["query_id"].take(i), *[s[n].take(j) for n in ("source_id", "r", "p")], pa.array(c)], schema=_SCORED)
 
     return run
 
 
-def _block_scores(q: DataFrame, s: DataFrame, k: int) -> DataFrame:
+def _block_scores(q: DataFrame, s: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """The ``k`` best of each query in each block: sides (.., at, v) and (.., at, u), paired where ``at`` is equal."""
     s = s.select("source_id", F.col("source_order.r").cast("long").alias("r"), F.col("source_order.p").cast("long").alias("p"), "at", "u")
-    rows = q.select("query_id", "at", "v").groupBy("at").cogroup(s.groupBy("at")).applyInPandas(_nearest_of_block(k), "query_id string, source_id string, r long, p long, candidate_score double")
-    return rows.dropDuplicates(["query_id", "source_id"]).select("query_id", "source_id", F.struct("r", "p").alias("source_order"), "candidate_score")
+    rows = q.select("query_id", "at", "v").groupBy("at").cogroup(s.groupBy("at")).applyInArrow(_nearest_of_block(k, digits), "query_id string, source_id string, r long, p long, candidate_score double")
+    return rows.select("query_id", "source_id", F.struct("r", "p").alias("source_order"), "candidate_score")
+
+
+def blocked(q: DataFrame, s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``at``: each query block meets each source block in one group."""
+    nq, ns = (max(1, -(-d.count() // BLOCK)) for d in (q, s))
+    own = lambda d, key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = q.withColumn("x", own(q, "query_id", nq)).withColumn("y", each(ns)).withColumn("at", F.struct("x", "y")).drop("x", "y")
+    b = s.withColumn("y", own(s, "source_id", ns)).withColumn("x", each(nq)).withColumn("at", F.struct("x", "y")).drop("x", "y")
+    return a, b
+
+
+def exact_scores(q: DataFrame, s: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """The ``k`` best sources of each query in every block, among them its ``k`` best of all."""
+    return _block_scores(*blocked(q, s), k, digits)
 
 
 def _bucket_for(distances: list[float], dim: int, tables: int, recall: float) -> float:
@@ -118,21 +152,17 @@ def embedding_lsh(query: DataFrame, source: DataFrame, *, top_k: int = 100, vect
     Without ``bucket`` its length is set so that the ``top_k``-th neighbour, as some queries' exact ones lie, shares a
     bucket at the rate ``recall``; nearer ones do more often.  A query with fewer than ``top_k`` candidates is scored
     against every source.  Null vectors are left out.  Blocks of a bucket have at most BLOCK sources or so."""
-    q = _side(query, "query", unit(F.col(vector)).alias("v")).where("v is not null")
-    s = _side(source, "source", unit(F.col(vector)).alias("u")).where("u is not null")
+    q, s = _vector_side(query, "query", vector, "v"), _vector_side(source, "source", vector, "u")
     n, dim = s.agg(F.count("*"), F.max(F.size("u"))).first()
     k, parts = min(top_k, n), max(1, -(-n // BLOCK))
     part = F.pmod(F.xxhash64("source_id"), F.lit(parts)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
 
-    def exact(some: DataFrame) -> DataFrame:
-        return _block_scores(some.withColumn("part", every).withColumn("at", F.struct("part")), s.withColumn("at", F.struct(part.alias("part"))), k)
-
     if not k:
         return ranked(q.join(s, F.lit(False)).select("query_id", "source_id", "source_order", F.lit(0.0).alias("candidate_score")), top_k)
     if bucket is None:
         some = q.orderBy(F.xxhash64("query_id", F.lit(seed)), "query_id").limit(SAMPLED)
-        kth = ranked(exact(some), k).where(F.col("rank") == k).collect()
+        kth = ranked(exact_scores(some, s, k), k).where(F.col("rank") == k).collect()
         bucket = _bucket_for([math.sqrt(max(0.0, 2 - 2 * r["candidate_score"])) for r in kth] or [1.0], dim, tables, recall)
     rng = np.random.default_rng(seed)
     planes = rng.normal(size=(tables, max(1, dim)))
@@ -146,10 +176,10 @@ def embedding_lsh(query: DataFrame, source: DataFrame, *, top_k: int = 100, vect
     at = F.struct("table", "bucket", "part")
     a = q.select("query_id", "v", F.posexplode(places("v")).alias("table", "bucket")).withColumn("part", every).withColumn("at", at)
     b = s.select("*", F.posexplode(places("u")).alias("table", "bucket")).withColumn("part", part).withColumn("at", at)
-    near = ranked_rows(_block_scores(a, b, k), k).persist()
+    near = ranked_rows(_block_scores(a, b, k).dropDuplicates(["query_id", "source_id"]), k).persist()
     short = q.join(near.where(F.col("rank") == k).select("query_id"), "query_id", "left_anti")
     near = near.join(short.select("query_id"), "query_id", "left_anti").drop("rank")
-    return ranked(near.unionByName(exact(short)), top_k)
+    return ranked(near.unionByName(exact_scores(short, s, k)), top_k)
 
 
 def bigrams(tokens: Column, interval: int = 0) -> Column:

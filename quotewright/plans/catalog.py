@@ -274,13 +274,13 @@ def rule_candidates_topk(spark: SparkSession, d: str) -> DataFrame:
     return rules.rule_based(_items(spark, d), _docs(spark, d), top_k=10)
 
 
-@query(f"""{_ALL}, f AS (SELECT * FROM r WHERE rank <= 10)
-SELECT CAST(x.item_id AS VARCHAR) AS query_id, x.text AS query_text, coalesce(CAST(f.s AS VARCHAR), '') AS source_id, coalesce(y.text, '') AS source_text,
+@query(f"""{_ALL}
+SELECT CAST(x.item_id AS VARCHAR) AS query_id, x.text AS query_text, coalesce(CAST(s AS VARCHAR), '') AS source_id, coalesce(y.text, '') AS source_text,
   coalesce(printf('%.6f', candidate_score), '') AS similarity, CASE WHEN s IS NULL THEN '' ELSE '1.000000' END AS probability, CASE WHEN s IS NULL THEN '' ELSE 'Yes' END AS above_threshold
-FROM benchmark x LEFT JOIN f ON f.q = x.item_id LEFT JOIN documents y ON y.doc_id = f.s""")
+FROM benchmark x LEFT JOIN r f ON f.q = x.item_id LEFT JOIN documents y ON y.doc_id = f.s""")
 def match_report(spark: SparkSession, d: str) -> DataFrame:
     q, s = _items(spark, d), _docs(spark, d)
-    return sinks.report(judges.identity(rules.rule_based(q, s, top_k=10)), q, s, 0.85)
+    return sinks.report(judges.identity(rules.rule_based(q, s)), q, s, 0.85)
 
 
 @query(f"{_ALL} SELECT CAST(x.item_id AS VARCHAR) AS query_id, CAST(count(s) FILTER (candidate_score >= 0.85) AS BIGINT) AS finds FROM benchmark x LEFT JOIN r ON r.q = x.item_id GROUP BY x.item_id")
