@@ -227,8 +227,7 @@ def bigram(query: DataFrame, source: DataFrame, vectors: DataFrame, *, interval:
 def content_words(text: Column, *, min_length: int = 2, stopwords: frozenset[str] | None = CONTEXTUAL) -> Column:
     """Runs of ASCII letters, long enough and no stopwords."""
     words = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), 0)
-    stops = F.array(*[F.lit(w) for w in sorted(stopwords)]) if stopwords else None
-    return F.filter(words, lambda t: (F.length(t) >= min_length) & (~F.array_contains(stops, F.lower(t)) if stops is not None else F.lit(True)))
+    return F.filter(words, lambda t: (F.length(t) >= min_length) & (~F.lower(t).isin(*sorted(stopwords)) if stopwords else F.lit(True)))
 
 
 def contextual(query_vectors: DataFrame, source_vectors: DataFrame, query: DataFrame, source: DataFrame, *, top_k: int = 100, digits: int | None = None, **_: object) -> DataFrame:
