@@ -95,39 +95,76 @@ CHANGES = "doc_id long, op string, text string, source string, lang string"
 
 
 def slow_totals(live):
-    path = token_counts.default_vocabulary()
     out = defaultdict(lambda: [0, 0, 0])
-    for t, s, la in live:
-        for k, v in enumerate((1, token_counts.count_tokens([t], path)[0], len(t or ""))):
-            out[s, la, token_counts.VERSION][k] += v
+    for version, path in token_counts.default_vocabularies().items():
+        for t, s, la in live:
+            for k, v in enumerate((1, token_counts.count_tokens([t], path)[0], len(t or ""))):
+                out[s, la, version][k] += v
     return sorted(((*k, *v) for k, v in out.items()), key=repr)
 
 
 def test_token_counts(spark, docs):
-    # rows of one doc_id count once, the one of most tokens; those without doc_id each
+    # rows of one doc_id count once, the longest; those without doc_id each
     rows = [tuple(r) for r in docs.collect()]
     live = {}
     for i, t, la, s, _ in rows:
         key = i if i is not None else ("null", len(live))
-        n = (token_counts.count_tokens([t], token_counts.default_vocabulary())[0], len(t or ""))
-        if key not in live or n > live[key][0]:
-            live[key] = (n, (t, s, la))
-    assert collected(token_counts.token_counts(docs)) == slow_totals([v for _, v in live.values()])
+        if key not in live or len(t or "") > len(live[key][0] or ""):
+            live[key] = (t, s, la)
+    want = slow_totals(live.values())
+    assert collected(token_counts.token_counts(docs)) == want and len({r[2] for r in want}) == 2
+    assert collected(token_counts.token_counts(docs.withColumn("counts", F.lit(1)).withColumn("bucket", F.lit("x")).withColumn("rn", F.lit(7)))) == want
     assert token_counts.token_counts(docs.limit(0)).count() == 0
+    assert len({tuple(r[3:]) for r in want}) > len(want) // 2  # the vocabularies count differently
+    # tokens are those of the file: the ids of one come back as the text
+    path = token_counts.default_vocabularies()["byte_bpe_50k"]
+    encoder = token_counts._encoder(path)
+    assert encoder.decode(encoder.encode_ordinary("É ünï 你好")) == "É ünï 你好"
 
 
 def test_rollup_of_signed_batches(spark, tmp_path):
     r = token_counts.TokenRollup(spark, f"file://{tmp_path}/r")
     assert r.totals().count() == 0
     batch = lambda *x: spark.createDataFrame(list(x), CHANGES)
-    first = batch((1, "insert", "one two three", "a", "en"), (2, "insert", "four", "a", "en"), (3, "insert", "five six", "b", None), (None, "insert", "loose", "a", "en"))
+    first = batch((1, "insert", "one two three", "a", "en"), (2, "insert", "four", "a", "en"), (3, "insert", "five six", "b", None), (None, "insert", "loose", "a", "en"), (None, "insert", "loose", "a", "en"))
     assert r.commit(1, first) and not r.commit(1, first)
     assert r.commit(2, batch((1, "delete", None, None, None), (2, "revise", "four four four", "b", "en"), (9, "delete", None, None, None), (None, "delete", "loose", "a", "en")))
-    assert collected(r.totals()) == slow_totals([("four four four", "b", "en"), ("five six", "b", None), ("loose", "a", "en")])
-    # an attempt without a commit, as a dead job leaves it, isn't seen
-    r.ledger().write.parquet(f"file://{tmp_path}/r/batches/3-dead/ledger")
-    assert r.commit(3, batch((2, "delete", None, None, None), (3, "insert", "again", "b", None)))
-    assert collected(token_counts.TokenRollup(spark, f"file://{tmp_path}/r").totals()) == slow_totals([("again", "b", None), ("loose", "a", "en")])
+    loose = [("loose", "a", "en")] * 2
+    assert collected(r.totals()) == slow_totals([("four four four", "b", "en"), ("five six", "b", None), *loose])
+    # an attempt without an entry, as a dead job leaves it, isn't seen
+    r.ledger().write.parquet(f"file://{tmp_path}/r/batches/3-dead/ledger/bucket=0")
+    assert r.compact() and collected(r.totals()) == slow_totals([("four four four", "b", "en"), ("five six", "b", None), *loose])
+    assert r.ledger().count() == 6
+    assert r.commit(3, batch((2, "delete", None, None, None), (3, "insert", "again", "b", None))) and r.committed() == {1, 2, 3}
+    assert r.commit(4, batch((2, "delete", None, None, None)).limit(0))
+    assert collected(token_counts.TokenRollup(spark, f"file://{tmp_path}/r").totals()) == slow_totals([("again", "b", None), *loose])
+
+
+def test_rollup_by_seq_and_touched_buckets(spark, tmp_path):
+    r = token_counts.TokenRollup(spark, f"file://{tmp_path}/r")
+    seq = lambda *x: spark.createDataFrame(list(x), CHANGES + ", seq long")
+    assert r.commit(0, seq((1, "insert", "a much longer text", "a", "en", 1), (1, "revise", "last", "a", "de", 7), (1, "insert", "no seq, and long enough to win", "a", "en", None), (2, "insert", "x", "a", "en", 3), (2, "delete", None, None, None, 3), *((k, "insert", "many", "m", "en", 0) for k in range(10, 200))))
+    assert collected(r.totals()) == slow_totals([("last", "a", "de"), *[("many", "m", "en")] * 190])
+    change = seq((10, "delete", None, None, None, 0), (11, "revise", "now another", "m", "en", 0))
+    read = {f.split("/bucket=")[1].split("/")[0] for f in r._rows(r.log(), {b[0] for b in change.select(r._bucket()).collect()}).inputFiles()}
+    assert len(read) <= 2
+    assert r.commit(1, change) and collected(r.totals()) == slow_totals([("last", "a", "de"), ("now another", "m", "en"), *[("many", "m", "en")] * 188])
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    one, two = (token_counts.TokenRollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    batch = lambda t: spark.createDataFrame([(1, "insert", t, "a", "en")], CHANGES)
+    plain, raced = one._delta, []
+
+    def slow(changes, log):
+        out = plain(changes, log)
+        if not raced:  # while the first attempt is under way another writer commits
+            raced.append(two.commit(8, batch("of the other writer")))
+        return out
+
+    monkeypatch.setattr(one, "_delta", slow)
+    assert one.commit(7, batch("mine")) and raced == [True]
+    assert [e["batch"] for e in one.log()] == [8, 7] and collected(one.totals()) == slow_totals([("mine", "a", "en")])
 
 
 # --- 3 ----------------------------------------------------------------------------------------------------------------
