@@ -14,16 +14,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from . import textops as T
-from .common import columns, fresh, slices
+from .common import columns, drop_written, fresh, slices, written
 
-#: Words of a phrase; shorter items of at least LEAST_WORDS are one phrase each.
+#: Words of a phrase; items of fewer words, but at least LEAST_WORDS, are one phrase each: shorter ones are everyday speech.
 PHRASE_WORDS, LEAST_WORDS = 8, 5
-#: Bytes of text a shard has, bytes of benchmark text searched in one pass, distance of suffix samples.
-SHARD_BYTES, PASS_BYTES, SAMPLE = 8 << 20, 64 << 20, 16
+#: Bytes of text a shard has, bytes of benchmark text searched in one pass (its phrases take some ten times that in the
+#: driver and in a task), distance of suffix samples.
+SHARD_BYTES, PASS_BYTES, SAMPLE = 8 << 20, 16 << 20, 16
 
 
 def suffix_array(codes: np.ndarray) -> np.ndarray:
@@ -104,14 +107,16 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """Test phrases: word hashes in order as symbols 1.., and per length the distinct phrases and their items."""
+    """Test phrases: word hashes in order as symbols 1.., and per length the distinct phrases, and where the items of each (rows of ``ids``)
+    begin in a list."""
 
     vocab: np.ndarray
-    by_length: list[tuple[np.ndarray, list[tuple[int, ...]]]]
+    by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    ids: list[int | None]
 
     @property
     def shortest(self) -> int:
-        return min((p.shape[1] for p, _ in self.by_length), default=0)
+        return min((p.shape[1] for p, *_ in self.by_length), default=0)
 
     @property
     def mark(self) -> np.ndarray:
@@ -121,19 +126,22 @@ class Phrases:
 
 
 def phrases(items: list[tuple[int, str]], n: int = PHRASE_WORDS, least: int = LEAST_WORDS) -> Phrases:
-    """All ``n``-word windows of the items."""
-    found: dict[tuple, set] = {}
+    """All ``n``-word windows of the items; an item of fewer words, but ``least``, is one phrase."""
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for w in T.words(pa.array([t for _, t in items], pa.large_string())):
-        for d in range(w.n_docs):
+        for d in np.flatnonzero(w.counts() >= max(1, least)).tolist():
             h = w.hash[w.ptr[d] : w.ptr[d + 1]]
-            if len(h) >= least:
-                for k in range(max(1, len(h) - n + 1)):
-                    found.setdefault(tuple(h[k : k + n].tolist()), set()).add(items[w.first + d][0])
-    vocab = np.array(sorted({x for p in found for x in p}), np.uint64)
-    by: dict[int, list] = {}
-    for p in sorted(found):
-        by.setdefault(len(p), []).append(p)
-    return Phrases(vocab, [(np.searchsorted(vocab, np.array(ps, np.uint64)) + 1, [tuple(sorted(found[p])) for p in ps]) for ps in by.values()])
+            windows = np.lib.stride_tricks.sliding_window_view(h, min(n, len(h)))
+            found.setdefault(windows.shape[1], []).append((windows, np.full(len(windows), w.first + d)))
+    vocab = np.unique(np.concatenate([x.ravel() for parts in found.values() for x, _ in parts])) if found else np.zeros(0, np.uint64)
+    by = []
+    for _, parts in sorted(found.items()):
+        code = np.concatenate([np.searchsorted(vocab, x).astype(np.int32) + 1 for x, _ in parts])
+        owner = np.concatenate([o for _, o in parts])
+        distinct, of = np.unique(code, axis=0, return_inverse=True)
+        order = np.argsort(of.ravel(), kind="stable")
+        by.append((distinct.astype(np.int64), np.searchsorted(of.ravel()[order], np.arange(len(distinct) + 1)), owner[order]))
+    return Phrases(vocab, by, [i for i, _ in items])
 
 
 def _coded(h: np.ndarray, vocab: np.ndarray, mark: np.ndarray) -> np.ndarray:
@@ -171,8 +179,8 @@ def spans_of(texts: pa.Array, ph: Phrases, mark: np.ndarray) -> list[tuple[int,
     codes[np.cumsum(size) - 1] = 0
     index = FMIndex(codes, len(ph.vocab))
     edge = np.zeros(len(code) + 1, np.int32)
-    hits: list[tuple[np.ndarray, np.ndarray, list]] = []
-    for pats, items in ph.by_length:
+    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    for pats, first, owner in ph.by_length:
         lo, hi = index.search(pats)
         n = hi - lo
         which = np.repeat(np.arange(len(pats)), n)
@@ -180,16 +188,16 @@ def spans_of(texts: pa.Array, ph: Phrases, mark: np.ndarray) -> list[tuple[int,
         at = origin[index.locate(rows)]
         np.add.at(edge, at, 1)
         np.add.at(edge, at + pats.shape[1], -1)
-        hits.append((at, which, items))
+        hits.append((at, which, first, owner))
     covered = np.cumsum(edge[:-1]) > 0
     cut = np.concatenate([[True], (covered[1:] != covered[:-1]) | (row[1:] != row[:-1])])
     begin = np.flatnonzero(cut)
     end = np.concatenate([begin[1:], [len(code)]])
     begin, end = begin[covered[begin]], end[covered[begin]]
     named: list[set] = [set() for _ in begin]
-    for at, which, items in hits:
+    for at, which, first, owner in hits:
         for s, k in set(zip((np.searchsorted(begin, at, side="right") - 1).tolist(), which.tolist())):
-            named[s].update(items[k])
+            named[s].update(ph.ids[i] for i in owner[first[k] : first[k + 1]].tolist())
     start_b, end_b = np.concatenate([w.start for w in parts]), np.concatenate([w.end for w in parts])
     out = []
     for s, (b, e) in enumerate(zip(begin.tolist(), end.tolist())):
@@ -199,15 +207,17 @@ def spans_of(texts: pa.Array, ph: Phrases, mark: np.ndarray) -> list[tuple[int,
     return out
 
 
-def _passes(benchmark: DataFrame, n: int, most: int) -> list[Phrases]:
-    """The phrases, in as many parts as their size needs: what a task holds is bounded by ``most``."""
+def _passes(benchmark: DataFrame, n: int, least: int, most: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The phrases, in as many parts as their size needs, and which part is the last.
+
+    A part exists in the driver only until it is handed out, so that is bounded by ``most`` here as in a task."""
     items = columns(benchmark, item_id="long", text="string").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // most))
-    if parts == 1:
-        return [phrases([(r[0], r[1]) for r in items.collect()], n)]
-    part = F.pmod(F.xxhash64("text"), F.lit(parts))
-    return [phrases([(r[0], r[1]) for r in items.where(part == k).collect()], n) for k in range(parts)]
+    part = F.pmod(F.xxhash64("text", "item_id"), F.lit(parts))
+    for k in range(parts):
+        rows = (items.where(part == k) if parts > 1 else items).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(phrases([(r[0], r[1]) for r in rows], n, least)), k == parts - 1
 
 
 def _merged(spans: list[tuple]) -> list[tuple[int, int, int, int, list[int]]]:
@@ -224,18 +234,20 @@ def _merged(spans: list[tuple]) -> list[tuple[int, int, int, int, list[int]]]:
     return [tuple(x) for x in out]
 
 
-def _searched(docs: DataFrame, text: str, passes: list[Phrases], last: Callable, schema) -> DataFrame:
+def _searched(docs: DataFrame, text: str, passes: Iterator[tuple[Broadcast, bool]], last: Callable, schema) -> DataFrame:
     """``docs`` through all passes, each over the original text.  ``last`` makes the resulting batch of a batch without
-    the carried spans and the merged spans by row; what the passes before the last found is carried in a column."""
+    the carried spans and the merged spans by row; what the passes before the last found is carried in a column.  Between
+    passes rows are written, so that a task holds the phrases of one only."""
     carry = fresh("qw_spans", docs.columns)
     names = docs.columns
 
-    def run(ph: Phrases, final: bool):
+    def run(part: Broadcast, first: bool, final: bool):
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ph = part.value
             mark = ph.mark
             for batch in slices(batches, text, SHARD_BYTES):
                 by: dict[int, list] = {}
-                if len(passes) > 1:
+                if not first:
                     for r, held in enumerate(batch.column(len(names)).to_pylist()):
                         if held is not None:
                             by[r] = [tuple(x) for x in json.loads(held)]
@@ -245,27 +257,30 @@ def _searched(docs: DataFrame, text: str, passes: list[Phrases], last: Callable,
                     bare = pa.RecordBatch.from_arrays(batch.columns[: len(names)], schema=pa.schema(list(batch.schema)[: len(names)]))
                     yield from last(bare, {r: _merged(x) for r, x in sorted(by.items())})
                 else:
-                    held = pa.array([json.dumps(by[r]) if r in by else None for r in range(batch.num_rows)], batch.schema.field(len(names)).type)
-                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], held], schema=batch.schema)
+                    held = pa.array([json.dumps(by[r]) if r in by else None for r in range(batch.num_rows)], pa.string())
+                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], held], names=[*names, carry])
 
         return each
 
-    if len(passes) > 1:
-        docs = docs.withColumn(carry, F.lit(None).cast("string"))
-    for ph in passes[:-1]:
-        docs = docs.mapInArrow(run(ph, False), docs.schema)
-    return docs.mapInArrow(run(passes[-1], True), schema)
+    carried = T_.StructType([*docs.schema, T_.StructField(carry, T_.StringType())])
+    for k, (part, final) in enumerate(passes):
+        if final:
+            return docs.mapInArrow(run(part, k == 0, True), schema)
+        then = written(docs.mapInArrow(run(part, k == 0, False), carried), "spans")
+        if k:
+            drop_written(docs)
+        docs = then
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE_WORDS, most: int = PASS_BYTES) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE_WORDS, most: int = PASS_BYTES, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, span_start, span_end, n_words, items): where documents hold phrases of the benchmark.
 
-    A phrase is ``n`` consecutive words of an item (or all of one of 5 words or more); case and what stands
-    between words don't count.  Offsets are characters, the end exclusive; items are the ids of the
+    A phrase is ``n`` consecutive words of an item, or all words of an item that has fewer, but ``least`` (items of still fewer words are not
+    searched; 1 searches all); case and what stands between words don't count.  Offsets are characters, the end exclusive; items are the ids of the
     items met, in order, joined by commas (an item without id counts, but isn't named).  A document without
-    phrases has no row.  Null and empty texts have none; a null doc_id stays null; repeated
-    rows each have their spans.  Other columns are not looked at.  A benchmark beyond ``most`` bytes is
-    searched in several passes, with the same result.
+    phrases has no row.  Null and empty texts have none; texts of any length are searched whole; a null doc_id stays null; repeated
+    rows each have their spans; items of equal text are all named.  Other columns are not looked at.  A benchmark beyond ``most`` bytes is
+    searched in several passes, with the same result; an empty one, or an empty table, gives an empty result.
     """
     src = columns(docs, doc_id="long", text="string")
     fields = pa.schema([("doc_id", pa.int64()), ("span_start", pa.int64()), ("span_end", pa.int64()), ("n_words", pa.int64()), ("items", pa.string())])
@@ -276,14 +291,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE_WORDS, most: in
             at, a, z, w, items = zip(*found)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(a, pa.int64()), pa.array(z, pa.int64()), pa.array(w, pa.int64()), pa.array(items)], schema=fields)
 
-    return _searched(src, "text", _passes(benchmark, n, most), rows, "doc_id long, span_start long, span_end long, n_words long, items string")
+    return _searched(src, "text", _passes(benchmark, n, least, most), rows, "doc_id long, span_start long, span_end long, n_words long, items string")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE_WORDS, most: int = PASS_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE_WORDS, most: int = PASS_BYTES, least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the spans of :func:`leaks` cut out of ``text`` and ``n_chars`` (if there) set anew.
 
     A document of which no word is left goes; one that nothing is cut from stays as it was, null and empty
-    texts too.  All columns come back.
+    texts and rows without doc_id too.  Repeated rows are cut alike and all stay; texts of any length are searched whole, and nothing depends on an order, so ties can't
+    occur.  All columns come back, whatever their names (of several that differ from ``text`` in case only the first is it).  A benchmark of several passes cuts the same spans, once;
+    an empty one cuts nothing, and an empty table stays empty.
     """
     names = docs.columns
     text_at = next(i for i, c in enumerate(names) if c.lower() == "text")
@@ -311,7 +328,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE_WORDS,
             cols[size_at] = pa.array(sizes, batch.column(size_at).type)
         yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(pa.array(stay))
 
-    return _searched(docs, names[text_at], _passes(benchmark, n, most), cut, docs.schema)
+    return _searched(docs, names[text_at], _passes(benchmark, n, least, most), cut, docs.schema)
 
 
 _W = "[0-9a-zA-Z\\x{C0}-\\x{1FFF}\\x{2040}-\\x{2FFF}\\x{3040}-\\x{10FFFF}]"
@@ -321,11 +338,12 @@ o AS (SELECT *, sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM
 w AS (SELECT doc_id, e - length(tok) AS s, e, lower(tok) AS word, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o WHERE regexp_matches(tok, '^{_W}')),
 x AS (SELECT doc_id, list(word ORDER BY k) AS x FROM w GROUP BY doc_id),
 b AS (SELECT item_id, regexp_extract_all(lower(text), '{_W}+') AS x FROM benchmark),
-p AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(x) - {PHRASE_WORDS} + 2), lambda i: array_to_string(x[i:i + {PHRASE_WORDS - 1}], ' '))) AS gram FROM b),
-g AS (SELECT doc_id, unnest(list_transform(range(1, len(x) - {PHRASE_WORDS} + 2), lambda i: array_to_string(x[i:i + {PHRASE_WORDS - 1}], ' '))) AS gram,
-        unnest(range(1, len(x) - {PHRASE_WORDS} + 2)) AS k FROM x),
-h AS (SELECT doc_id, k, item_id FROM g JOIN p USING (gram)),
-c AS (SELECT DISTINCT doc_id, unnest(range(k, k + {PHRASE_WORDS})) AS k FROM h),
+z AS (SELECT item_id, x, least(len(x), {PHRASE_WORDS}) AS m FROM b WHERE len(x) >= {LEAST_WORDS}),
+p AS (SELECT DISTINCT item_id, m, unnest(list_transform(range(1, len(x) - m + 2), lambda i: array_to_string(x[i:i + m - 1], ' '))) AS gram FROM z),
+g AS (SELECT doc_id, m, unnest(list_transform(range(1, len(x) - m + 2), lambda i: array_to_string(x[i:i + m - 1], ' '))) AS gram,
+        unnest(range(1, len(x) - m + 2)) AS k FROM x, (SELECT DISTINCT m FROM p) WHERE len(x) >= m),
+h AS (SELECT doc_id, k, m, item_id FROM g JOIN p USING (gram, m)),
+c AS (SELECT DISTINCT doc_id, unnest(range(k, k + m)) AS k FROM h),
 i AS (SELECT doc_id, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS island FROM c),
 r AS (SELECT doc_id, min(k) AS a, max(k) AS z FROM i GROUP BY doc_id, island),
 n AS (SELECT r.doc_id, a, z, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items
