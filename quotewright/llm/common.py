@@ -52,6 +52,16 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes of a partition of a hash join's build side, at most.
+BUILD_BYTES = 64 << 20
+
+
+def hash_side(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, a table made by :func:`written` with about ``row_bytes`` a row, as the build side of a shuffled hash join if its
+    partitions would be small enough to be held; if not, the join is left to Catalyst."""
+    return df.hint("shuffle_hash") if df.count() * row_bytes <= BUILD_BYTES * n_partitions(df.sparkSession) else df
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import columns, drop_written, fresh, text_hash, written
+from .common import columns, drop_written, fresh, hash_side, text_hash, written
 from .graph import components
 
 #: Words of a gram, Jaccard similarity from which two texts are linked (that of a text and its copy with a tenth of the words
@@ -249,8 +249,8 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[D
     weight = members.select("doc_id", "node").distinct().groupBy("node").agg(F.count("*").alias("docs"))
     chosen = members.join(comp, "node", "left_semi").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("k"))
     chosen = chosen.join(comp, "node").join(weight, "node").select("node", "comp", "docs", F.col("k.th").alias("th"), F.col("k.doc_id").alias("doc_id"))
-    # the build side has 40 bytes a row, in partitions that are sized for texts
-    texts = src.alias("s").join(chosen.alias("c").hint("shuffle_hash"), F.expr("s.th = c.th and s.doc_id <=> c.doc_id")).select("c.node", "c.comp", "c.docs", "s.text")
+    chosen = written(chosen, "chosen")
+    texts = src.alias("s").join(hash_side(chosen, 80).alias("c"), F.expr("s.th = c.th and s.doc_id <=> c.doc_id")).select("c.node", "c.comp", "c.docs", "s.text")
     sets = written(texts.mapInArrow(_sets(n), "node long, comp long, docs long, size long, grams binary").dropDuplicates(["node"]), "sets")
     size = sets.groupBy("comp").agg(F.sum("size").alias("grams"), F.count("*").alias("nodes")).where("nodes > 1")
     blocks = size.select("comp", F.greatest(F.ceil(F.col("grams") / BLOCK_GRAMS), F.ceil(F.col("nodes") / BLOCK_NODES)).cast("int").alias("nb"))
@@ -263,7 +263,7 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[D
     joined = components(found.select("node", "label"))
     total = found.groupBy("node").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
     linked = written(total.join(joined, "node", "left").select("node", "links", F.coalesce("comp", "label").alias("label")), "linked")
-    for done in (sig, buckets, comp, sets, found):
+    for done in (sig, buckets, comp, chosen, sets, found):
         drop_written(done)
     return members, linked
 
@@ -302,11 +302,10 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     again = judged.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th")
     th, key, rn = (fresh(x, docs.columns) for x in ("qw_text", "qw_key", "qw_row"))
     x, y = fresh("qw_a", docs.columns), fresh("qw_b", docs.columns)
-    drop = lost.select(F.col("doc_id").alias(x), F.col("th").alias(y)).distinct()
+    drop = written(lost.select(F.col("doc_id").alias(x), F.col("th").alias(y)).distinct(), "lost")
     rows = docs.withColumn(th, text_hash())
     on = (F.col(th) == F.col(y)) & F.col("`doc_id`").eqNullSafe(F.col(x))
-    # the build side has 16 bytes a row, in partitions that are sized for texts
-    rows = rows.join(drop.hint("shuffle_hash"), on, "left_anti")
+    rows = rows.join(hash_side(drop, 60), on, "left_anti")
     twice = written(again.join(lost, ["doc_id", "th"], "left_anti").select(F.col("doc_id").alias(x), F.col("th").alias(y)), "twice")
     if twice.isEmpty():
         return rows.drop(th)

@@ -564,34 +564,75 @@ def test_mixing(spark, docs):
 # --- 8 ----------------------------------------------------------------------------------------------------------------
 
 
-def slow_distances(x, half=outliers.HALF):
-    """One group, the same estimate without Spark."""
-    floor = textstats.FLOOR
-    bins = np.floor(x * outliers._X_BINS)
-    q = [(np.sort(bins, axis=0)[[int(np.ceil(len(x) * s)) - 1]][0] + 0.5) / outliers._X_BINS for s in (0.25, 0.5, 0.75)]
-    mu, p = q[1], np.diag(1 / np.maximum((q[2] - q[0]) / 1.349, floor) ** 2)
-    d2 = lambda: np.einsum("ij,jk,ik->i", x - mu, p, x - mu)
-    b = lambda d: np.floor(np.log(d + 1e-9) * outliers._BINS)
-    at = lambda d, s: np.sort(b(d))[int(np.ceil(len(d) * s)) - 1]
-    for _ in range(outliers.ROUNDS):
-        d = d2()
-        inner = x[b(d) <= at(d, half)]
-        mu, cov = inner.mean(0), np.cov(inner.T, bias=True)
-        p = np.linalg.inv(cov + np.diag(floor**2))
-    d = d2()
-    return d / max(1.0, math.exp((at(d, 0.5) + 1) / outliers._BINS) / outliers._MEDIAN)
+def slow_mcd(x, draws):
+    """Mean and covariance of least determinant of a group, the same steps without Spark; ``draws``: orders of its rows."""
+    bins = lambda d: np.floor(np.log(np.maximum(d, 0) + 1e-9) * outliers._BINS)
+    plain = lambda y: (y.mean(0), np.cov(y.T, bias=True))
+
+    def step(mu, cov):
+        b = bins(np.einsum("ij,jk,ik->i", x - mu, outliers.inverse(cov)[0], x - mu))
+        return plain(x[b <= np.sort(b)[math.ceil(len(x) * outliers.HALF) - 1]])
+
+    q = [np.sort(x, axis=0)[math.ceil(len(x) * s) - 1] for s in (0.25, 0.5, 0.75)]
+    starts = [(q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2)), plain(x), *[plain(x[d[: outliers.DRAWN]]) for d in draws]]
+    for _ in range(outliers.FIRST):
+        starts = [step(*s) for s in starts]
+    best = min(starts, key=lambda s: outliers.inverse(s[1])[1])
+    while True:
+        then = step(*best)
+        if outliers.inverse(then[1])[1] >= outliers.inverse(best[1])[1] - outliers.SETTLED:
+            return best
+        best = then
+
+
+def slow_distances(x, groups, draws):
+    """``groups``: (language, source) of each row."""
+    n, keys = len(x), [[("*",)] * len(x), [(a,) for a, _ in groups], groups]
+    levels = []
+    for of in keys:
+        rows = {g: np.array([i for i in range(n) if of[i] == g]) for g in set(of)}
+        levels.append({g: (len(at), *slow_mcd(x[at], [np.argsort(d[at], kind="stable") for d in draws])) for g, at in rows.items()})
+    d2 = np.zeros(n)
+    for i in range(n):
+        _, mu, cov = levels[0][keys[0][i]]
+        for k in (1, 2):
+            size, m, c = levels[k][keys[k][i]]
+            t = size / (size + outliers.WORTH)
+            mu, cov = t * m + (1 - t) * mu, t * c + (1 - t) * cov
+        d2[i] = (x[i] - mu) @ outliers.inverse(outliers.CONSISTENT * cov)[0] @ (x[i] - mu)
+    b = np.floor(np.log(d2 + 1e-9) * outliers._BINS)
+    out = np.zeros(n)
+    for i in range(n):
+        off = None
+        for k, of in enumerate(keys):
+            own = np.sort([b[j] for j in range(n) if of[j] == of[i]])
+            o = (own[math.ceil(len(own) * 0.5) - 1] + 1) / outliers._BINS - math.log(outliers._MEDIAN)
+            t = len(own) / (len(own) + outliers.WORTH)
+            off = o if k == 0 else t * o + (1 - t) * off
+        out[i] = d2[i] / max(1.0, math.exp(off))
+    return out
+
+
+def test_chi_squared():
+    # table values
+    assert outliers.chi_squared_at(0.5, 7) == pytest.approx(6.3458, abs=1e-3) and outliers.chi_squared_at(0.999, 7) == pytest.approx(24.3219, abs=1e-3)
+    assert outliers.chi_squared(3.841, 1) == pytest.approx(0.95, abs=1e-4) and outliers.chi_squared(0, 3) == 0
 
 
 def test_outliers(spark):
     rows, bad = mixed(spark)
-    docs = table(spark, rows).withColumn("source", F.lit("s")).withColumn("g", F.lit(0)).withColumn("x0", F.lit("clash"))
+    group = lambda k: ("en" if k % 5 else "de", "hot" if k % 3 else "cold" if k % 4 else "few")
+    docs = spark.createDataFrame([(i, t, *group(i), len(t)) for i, t in rows], DOCS).withColumn("g", F.lit(0)).withColumn("x0", F.lit("clash")).withColumn("s", F.lit("clash"))
     got = {r["doc_id"]: r["distance"] for r in outliers.distances(docs).collect()}
     import pyarrow as pa
 
     x = np.concatenate([textstats.transformed(v) for _, _, v in textstats.statistics(pa.array([t for _, t in rows]))])
-    want = slow_distances(x)
-    assert [got[i] for i, _ in rows] == pytest.approx(want, rel=1e-3)
+    keyed = {r["doc_id"]: r for r in docs.select("doc_id", F.xxhash64("text").alias("th")).select("doc_id", *[F.xxhash64("th", "doc_id", F.lit(k)).alias(f"d{k}") for k in (2, 3)]).collect()}
+    draws = [np.array([keyed[i][f"d{k}"] for i, _ in rows]) for k in (2, 3)]
+    want = slow_distances(x, [group(i) for i, _ in rows], draws)
+    assert len({group(i) for i, _ in rows}) == 6 and [got[i] for i, _ in rows] == pytest.approx(want, rel=1e-3)
     kept = {r["doc_id"] for r in outliers.quality_rules(docs).collect()}
+    assert kept == {i for (i, _), d in zip(rows, want) if d <= outliers.CUTOFF}
     assert not kept & bad and kept | bad == {i for i, _ in rows}
     assert outliers.keep_inliers(docs).columns == docs.columns and {r["doc_id"] for r in outliers.keep_inliers(docs).collect()} == kept
 
