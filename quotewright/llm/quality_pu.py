@@ -1,6 +1,7 @@
 """Quality classifier by positive-unlabelled learning: the non-negative unbiased risk, over all documents.
 
-Trusted positives are the documents labelled good; everything else is unlabelled web text, bad labels included.
+Trusted positives are the documents labelled good.  The unlabelled sample is all documents, trusted ones as well: they are
+part of what the prior is a share of.  Labels of bad documents are not used.
 With the squared loss both parts of the risk depend on second moments of the features only, so one pass of partial
 sums over all documents holds the whole risk exactly, and the descent runs on matrices of a few dozen rows.  The class
 prior is estimated from score histograms: the least ratio of unlabelled to positive mass above a score (best bin
@@ -21,8 +22,8 @@ from .textstats import NAMES, statistics, transformed
 
 #: Buckets of hashed words next to the statistics; bins of a score histogram; L2 penalty; sums merged in one task.
 HASHED, BINS, PENALTY, FAN_IN = 32, 400, 1e-3, 64
-#: Share of the trusted positives that the threshold may lose, and how far below them it lies.
-LOSE, MARGIN = 0.001, 0.1
+#: How many good documents lost are as bad as one other document kept.
+COST = 9.0
 _S = len(NAMES)
 #: Features: statistics, their squares, log length, hashed words, and a constant.
 DIM = 2 * _S + 1 + HASHED + 1
@@ -46,12 +47,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Moments of the rows of a task: X'X of positives and of unlabelled ones."""
+    """Moments of the rows of a task: X'X of positives and of all."""
     sums = np.zeros((2, DIM, DIM))
     for batch in batches:
         if batch.num_rows:
             x, good = _matrix(batch.column(1)), np.asarray(batch.column(0).cast(pa.int8())) == 1
-            for k, rows in enumerate((x[good], x[~good])):
+            for k, rows in enumerate((x[good], x)):
                 sums[k] += rows.T @ rows
     yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
 
@@ -101,7 +102,7 @@ def fit(sums: np.ndarray, prior: float, penalty: float = PENALTY, steps: int = 4
 
 
 def class_prior(good: np.ndarray, rest: np.ndarray, delta: float = 0.05) -> float:
-    """Share of good ones among the unlabelled, from score histograms (counts from low to high scores)."""
+    """Share of good ones among the unlabelled ``rest``, from score histograms (counts from low to high scores)."""
     n, m = good.sum(), rest.sum()
     if not n or not m:
         return 0.5
@@ -121,20 +122,21 @@ def _score(w: np.ndarray):
 
 
 def _histograms(scored: DataFrame) -> np.ndarray:
-    """Counts of scores, of positives and of unlabelled documents."""
+    """Counts of scores, of positives and of all documents."""
     cell = F.floor((F.least(F.greatest("score", F.lit(_LOW)), F.lit(_HIGH - 1e-9)) - _LOW) / (_HIGH - _LOW) * BINS).cast("int")
     hist = np.zeros((2, BINS))
     for b, g, n in scored.groupBy(cell.alias("b"), "good").count().collect():
-        hist[0 if g else 1, b] = n
+        hist[1, b] += n
+        hist[0, b] += n if g else 0
     return hist
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, n, good, score) of every row: above 0 reads as good.
+    """(doc_id, n, good, score) of every row: the score is twice the probability of being good, less 1, as the squared loss has it.
 
     A document is a trusted positive if any of its labels has quality 1; null labels and ids label nothing.  Repeated
-    rows count and come back each; null and empty texts have the features of no words.  Without positives, or without other
-    documents, all scores are 0.  An empty table gives an empty result.
+    rows count and come back each, with equal scores; null and empty texts have the features of no words, texts of any length are taken whole.
+    Without positives all scores are 0.  Other columns are not looked at.  An empty table gives an empty result.
     """
     src = columns(docs, doc_id="long", text="string")
     good = columns(labels, doc_id="long", quality="int").where("quality = 1 and doc_id is not null").select("doc_id", F.lit(True).alias("good")).distinct()
@@ -148,14 +150,13 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return x.mapInArrow(_score(fit(sums, prior)), schema)
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, lose: float = LOSE) -> DataFrame:
-    """(doc_id, score) of the documents that read as good.
+def quality_classifier(docs: DataFrame, labels: DataFrame, cost: float = COST) -> DataFrame:
+    """(doc_id, score) of the documents that read as good: keeping them costs less than losing them, where a bad one kept costs
+    ``cost`` good ones lost, so (1 + score) / 2 is at least cost / (1 + cost); at 1 that is a score of 0.
 
-    The threshold is where the score histogram of the trusted positives has the share ``lose`` below it, less MARGIN;
-    without positives it is 0, so everything stays."""
+    A score equal to the bound stays.  Without positives nothing can be told and every row stays.  Nulls, empty and very long texts,
+    repeated rows, clashing names and empty tables: see :func:`scores`."""
     scored = written(scores(docs, labels), "scores")
-    hist = _histograms(scored)[0]
-    at = 0.0
-    if hist.sum():
-        at = _LOW + int(np.searchsorted(np.cumsum(hist), lose * hist.sum(), side="right")) * (_HIGH - _LOW) / BINS - MARGIN
-    return scored.where(F.col("score") >= at).select("doc_id", "score")
+    if scored.where("good").isEmpty():
+        return scored.select("doc_id", "score")
+    return scored.where(F.col("score") >= (cost - 1) / (cost + 1)).select("doc_id", "score")

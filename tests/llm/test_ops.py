@@ -325,6 +325,39 @@ def test_urls(spark):
     assert {r["log_odds"] for r in url_filter.url_scores(pages.where("page_id < 50")).collect()} == {0.0}
 
 
+def test_word_counts_and_segments(spark):
+    long = "a" * 30 + "b" * 15
+    pages = [(1, "https://green-garden.example.org/news/garden", "<p>Green garden<br>news</p><script>var x</script>"), (2, f"http://{long}garden.example.org/", f"<b>{long}</b> {long} &amp; garden"), (3, None, "garden"), (4, "greengarden.example.org", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = Counter()
+    for _, u, h in pages:
+        seen = re.sub(r"<script.*?</script>|<[^>]*>|&[a-z]+;", " ", (h or "").lower())
+        host, _, path = re.sub("^https?://", "", u or "").partition("/")
+        want.update(re.findall("[a-z]+", seen) + [w for la in host.split(".") if "-" in la for w in la.split("-")] + re.findall("[a-z]+", path))
+    counts = url_filter.word_counts(df)
+    assert dict(map(tuple, counts.collect())) == want
+    total = sum(want.values())
+    pieces = spark.createDataFrame([("greengarden",), (long + "garden",), ("example",), ("",)], "piece string")
+    got = dict(map(tuple, url_filter.segments(pieces, counts).collect()))
+
+    def best(s):
+        splits = [[s[a:z] for a, z in zip([0, *c], [*c, len(s)])] for n in range(3) for c in __import__("itertools").combinations(range(1, len(s)), n)]
+        return max(splits, key=lambda p: sum(math.log(want[w] / total) if w in want else math.log(10 ** (1 - len(w)) / total / 10) for w in p))
+
+    assert {k: list(v) for k, v in got.items()} == {s: best(s) for s in ("greengarden", long + "garden", "example")}
+
+
+def test_labelled_hosts(spark):
+    fruit = ("apple", "plum", "fig")
+    urls = [f"http://{h}.example.org/{k}" for h in (*(f"{c}-{f}" for c in ("red", "blue") for f in (*fruit, "pear")), "casino-fig") for k in range(5)]
+    pages = spark.createDataFrame([(k, u, "red blue apple plum fig pear") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    labels = [*((f"RED-{f}.example.org", True) for f in fruit), *((f"blue-{f}.example.org", False) for f in fruit), ("casino-fig.example.org", False), (None, True), ("red-pear.example.org", None)]
+    labels = spark.createDataFrame(labels, "host string, unwanted boolean")
+    blocked = {r["url"] for r in url_filter.url_scores(pages, rounds=3, labelled=labels).where("blocked").collect()}
+    # no seed counts, a label against a seed does, and an unlabelled host goes by its company
+    assert blocked == {u for u in urls if "red" in u}
+
+
 def test_urls_of_unlisted_hosts(spark, tmp_path):
     clean = [f"http://www.{a}{b}.example.org/en/{k}" for a in ("green", "garden", "news", "river", "stone") for b in ("house", "paper", "walk", "field") for k in range(8)]
     seeded = [f"http://{h}.example.com/en/{k}" for h in ("casino-win", "free-bets", "lucky-casino", "win-poker", "lucky-bets") for k in range(4)]
@@ -372,11 +405,11 @@ def test_moments_and_risk(spark):
     df = spark.createDataFrame([(bool(g), r.tolist()) for g, r in zip(good, x)], "good boolean, x array<float>").repartition(9)
     sums = quality_pu.moments(df)
     x = x.astype(float)
-    assert np.allclose(sums[0], x[good].T @ x[good]) and np.allclose(sums[1], x[~good].T @ x[~good])
+    assert np.allclose(sums[0], x[good].T @ x[good]) and np.allclose(sums[1], x.T @ x)
 
     def risk(w, prior=0.3):
-        p, u = x[good] @ w, x[~good] @ w
-        mean, sd = x[~good].mean(0), x[~good].std(0)
+        p, u = x[good] @ w, x @ w
+        mean, sd = x.mean(0), x.std(0)
         z = w * np.where(np.arange(len(w)) == len(w) - 1, 1, sd)
         z[-1] = w[-1] + (w[:-1] * mean[:-1]).sum()
         return prior * ((1 - p) ** 2).mean() / 2 + max(0, ((1 + u) ** 2).mean() / 2 - prior * ((1 + p) ** 2).mean() / 2) + quality_pu.PENALTY * (z**2).sum() / 2
@@ -385,6 +418,49 @@ def test_moments_and_risk(spark):
     assert all(risk(w) <= risk(w + rng.normal(size=len(w)) * s) + 2e-3 for s in (0.001, 0.01, 0.1) for _ in range(20))
 
 
+def test_quality_query_by_brute_force(spark, tmp_path):
+    rows, bad = mixed(spark)
+    trusted = {k for k, _ in rows if k not in bad and k % 3 == 0}
+    docs = table(spark, [*rows, (1000, None), (1001, ""), (3, "a repeated id, trusted")])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1) for k in trusted] + [(k, 0) for k in bad], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    import pyarrow as pa
+
+    local = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    ids, texts = zip(*local)
+    x = np.concatenate([np.stack(b.column(2).to_pylist()) for b in quality_pu._features([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], names=["doc_id", "text"])])]).astype(float)
+    good = np.array([i in trusted for i in ids])
+    mean, sd = x.mean(0), np.sqrt(np.maximum(x.var(0), 1e-9))
+    mean[-1], sd[-1] = 0, 1
+    z = (x - mean) / sd
+
+    def fitted(prior):
+        w, zp = np.zeros(z.shape[1]), z[good]
+        rate = 1 / (np.linalg.eigvalsh(z.T @ z / len(z) + prior * zp.T @ zp / len(zp))[-1] + quality_pu.PENALTY)
+        for _ in range(4000):  # row by row, without moments
+            p, u = zp @ w, z @ w
+            grad = prior * zp.T @ (p - 1) / len(p) + quality_pu.PENALTY * w
+            if ((1 + u) ** 2).mean() > prior * ((1 + p) ** 2).mean():
+                grad = grad + z.T @ (1 + u) / len(u) - prior * zp.T @ (1 + p) / len(p)
+            w = w - rate * grad
+        return z @ w
+
+    prior = 0.5
+    for _ in range(2):
+        g = fitted(prior)
+        least = []
+        for c in np.arange(-4, 4, 8 / quality_pu.BINS):
+            a, b = (g[good] >= c - 1e-9).mean(), (g >= c - 1e-9).mean()
+            if a > 0.1:
+                least.append((b + math.sqrt(math.log(80) / 2 / good.sum()) + math.sqrt(math.log(80) / 2 / len(g))) / a)
+        prior = min(0.98, max(0.02, min(least)))
+    g = fitted(prior)
+    got = sorted(map(tuple, catalog.QUERIES["op5_quality_classifier"](spark, str(tmp_path)).collect()), key=repr)
+    want = sorted(((i, s) for i, s in zip(ids, g) if (1 + s) / 2 >= quality_pu.COST / (1 + quality_pu.COST)), key=repr)
+    assert [i for i, _ in got] == [i for i, _ in want] and 300 < len(got) < len(ids)
+    assert sorted(s for _, s in got) == pytest.approx(sorted(s for _, s in want), abs=0.02)
+
+
 def test_class_prior():
     rng = np.random.default_rng(0)
     hist = lambda v: np.histogram(np.clip(v, -4, 3.99), bins=quality_pu.BINS, range=(-4, 4))[0]
