@@ -23,14 +23,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """``pos``: rows in file order, densely from 0.
+def _numbered(files: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns`` of a table read from files, and ``pos``: rows in order of file names and lines, densely from 0.
 
-    Ids that grow with partition and row order the rows; the counts before each partition make them dense."""
-    df = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
-    sizes = df.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return df.join(before, "_part").withColumn("pos", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_before")
+    Tasks read blocks of files in no fixed order; ids grow within a block, and the counts of the blocks before it make them dense."""
+    rows = files.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    sizes = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = sizes.select("_file", "_block", (F.sum("_n").over(Window.orderBy("_file", "_block")) - F.col("_n") - F.col("_first")).alias("_before"))
+    return rows.join(before, ["_file", "_block"]).withColumn("pos", F.col("_before") + F.col("_id")).drop("_file", "_block", "_id", "_before")
 
 
 def checked(segments: DataFrame) -> DataFrame:
@@ -57,16 +57,18 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     missing = {"seg_id", "text"} - set(raw.columns)
     if missing:
         raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
-    rows = _numbered(raw.select("seg_id", F.coalesce("text", F.lit("")).alias("text")))
+    rows = _numbered(raw, "seg_id", F.coalesce("text", F.lit("")).alias("text"))
     return checked(rows.select("seg_id", "text", F.col("pos").cast("int").alias("row_id"), "pos", F.create_map().cast("map<string,string>").alias("meta")))
 
 
 def read_plain(spark: SparkSession, path: str, delimiter: str = "\n") -> DataFrame:
-    """Segments of a text file between literal delimiters; blank ones are left out but count in the ids, which are places."""
+    """Segments of a text file, or of several in order of their names, between literal delimiters; blank ones are left out but count in the
+    ids, which are places."""
     if not exists(spark, path):
         return spark.createDataFrame([], SCHEMA)
-    quoted = "".join("\\" + c if not c.isalnum() and ord(c) < 128 else c for c in delimiter)
-    pieces = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", quoted, -1)).alias("row_id", "text"))
+    # the delimiter as the end of a line: a large file is read by many tasks
+    lines = _numbered(spark.read.text(path, lineSep=delimiter), F.col("value").alias("text"))
+    pieces = lines.select("text", F.col("pos").cast("int").alias("row_id"))
     kept = pieces.where(F.regexp_replace("text", r"(?U)\s+", "") != "")
     return kept.select(F.col("row_id").cast("string").alias("seg_id"), "text", "row_id", F.col("row_id").cast("long").alias("pos"), F.create_map().cast("map<string,string>").alias("meta"))
 
@@ -141,7 +143,9 @@ def gold_labels(df: DataFrame, order: Column | None = None) -> DataFrame:
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    return gold_labels(spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"'))
+    """Gold labels of a CSV file, or of several in order of their names; of several labels of a pair the last wins."""
+    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    return gold_labels(_numbered(raw, *[F.col(f"`{c}`") for c in raw.columns]), F.col("pos"))
 
 
 def read_stopwords(spark: SparkSession, path: str) -> set[str]:

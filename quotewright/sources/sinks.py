@@ -119,10 +119,12 @@ def console(judged: DataFrame, query: DataFrame, source: DataFrame) -> str:
 
 
 def save_plain(segments: DataFrame, path: str, *, delimiter: str = "\n") -> None:
-    """Texts in document order, joined."""
-    rows = F.array_sort(F.collect_list(F.struct(F.coalesce("row_id", F.lit(0)).alias("r"), "pos", "text")))
-    one = segments.agg(F.array_join(F.transform(rows, lambda x: x["text"]), delimiter).alias("value"))
-    _single(one, path, "text")
+    """Texts in document order, joined: one file, written segment by segment."""
+    fs, target = _fs(segments, path)
+    stream = fs.create(target, True)
+    for n, r in enumerate(ordered(segments).select("text").toLocalIterator()):
+        stream.write(((delimiter if n else "") + (r["text"] or "")).encode())
+    stream.close()
 
 
 def save_csv(segments: DataFrame, path: str) -> None:

@@ -37,7 +37,7 @@ def test_plain_text_and_back(spark, tmp_path):
     df = src.read_document(spark, str(tmp_path / "a.txt"))
     assert rows(df, "seg_id", "text") == [("0", "one"), ("2", " two"), ("3", "three")]
     sinks.save_plain(df, str(tmp_path / "new/out.txt"), delimiter="|")
-    assert (tmp_path / "new/out.txt").read_text() == "one| two|three\n"
+    assert (tmp_path / "new/out.txt").read_text() == "one| two|three"
     sinks.save_csv(df, str(tmp_path / "out.csv"))
     assert rows(src.read_csv(spark, str(tmp_path / "out.csv")), "seg_id", "text") == rows(df, "seg_id", "text")
     assert rows(src.read_plain(spark, str(tmp_path / "a.txt"), "o"), "text")[0] == ("ne\n\n tw",)
@@ -142,3 +142,12 @@ def test_result_sinks(spark, tmp_path):
 def test_example(spark):
     q, s, g = src.example(spark)
     assert g.join(q, F.col("query_id") == q["seg_id"]).join(s, F.col("source_id") == s["seg_id"]).count() == 3
+
+
+def test_files_in_order_of_names(spark, tmp_path):
+    for folder, name, text in (("csv", "b", "seg_id,text\n3,x\n4,\"y\nz\"\n"), ("csv", "a", "seg_id,text\n1,u\n2,v\n"), ("txt", "b", "x\n\ny"), ("txt", "a", "u\nv\n"), ("gold", "b", "query_id,source_id,label\nq,s,0\n"), ("gold", "a", "query_id,source_id,label\nq,s,1\nq,t,1\n")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / f"{name}.{folder.replace('gold', 'csv')}").write_text(text)
+    assert rows(src.read_csv(spark, str(tmp_path / "csv")), "seg_id", "text", "row_id") == [("1", "u", 0), ("2", "v", 1), ("3", "x", 2), ("4", "y\nz", 3)]
+    assert rows(src.read_plain(spark, str(tmp_path / "txt")), "seg_id", "text") == [("0", "u"), ("1", "v"), ("2", "x"), ("4", "y")]
+    assert {tuple(r) for r in src.read_gold(spark, str(tmp_path / "gold")).collect()} == {("q", "s", 0), ("q", "t", 1)}
