@@ -25,6 +25,8 @@ from .common import bin_of, columns, ints, n_partitions, slices
 
 #: Words a repeat must have, words from which a symbol stays, rounds.
 MIN_WORDS, SYMBOL_WORDS, ROUNDS = 50, 6, 14
+#: Bytes of text whose symbols one partition of hashes holds.
+PART_BYTES = 128 << 20
 _U = np.uint64
 _COIN = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64)
 _RUN, _PAIR, _LONG = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25), _U(0xD6E8FEB86659FD93)
@@ -213,12 +215,15 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     without doc_id are left out.  Rows that share a doc_id count as one document: what only they have in common is
     no repeat, and their spans are merged.  Other columns are not looked at; an empty table gives an empty
     result.  A passage is found if one of its symbols is shared; at 50 words all but about one in a
-    thousand are, longer ones practically always.  What is found is exact.
+    thousand are, longer ones practically always.  What is found is exact but for collisions of 64-bit hashes.  Texts of any length are
+    taken whole; nothing is ranked, so ties can't occur.
     """
     if min_words < 4 * SYMBOL_WORDS:
         raise ValueError(f"min_words must be {4 * SYMBOL_WORDS} at least: shorter passages needn't hold a whole symbol")
-    n = n_partitions(docs.sparkSession)
     src = columns(docs, doc_id="long", text="string").where("doc_id is not null and text is not null")
+    # a partition of hashes is sorted in one task: as many as the size of the texts needs
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(n_partitions(docs.sparkSession), -(-size // PART_BYTES))
     named = src.mapInArrow(_name(n), "part int, n long, blob binary").repartitionById(n, F.col("part"))
     shared = named.mapInArrow(_shared, "doc_id long, places binary").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     regions = src.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "places")
