@@ -162,7 +162,8 @@ def _starts(rows: DataFrame) -> DataFrame:
 def _concentrated(rows: DataFrame, now: DataFrame) -> DataFrame:
     """Estimates from the share HALF of each group that lies nearest by the estimates ``now``."""
     rated = rows.join(now.select("g", "s", "m", "p"), "g").select("g", "s", *_X, _bin(_squared()).alias("bin"))
-    cuts = _reached(rated.groupBy("g", "s", "bin").agg(F.count("*").alias("rows")), ["g", "s"], HALF)
+    # written, so that its size is known and it is broadcast if small: rows of a hot group stay where they are
+    cuts = written(_reached(rated.groupBy("g", "s", "bin").agg(F.count("*").alias("rows")), ["g", "s"], HALF), "cuts")
     inner = rated.join(cuts, ["g", "s"]).where("bin <= cut")
     return _sums(inner, "g", "s").mapInPandas(_estimates, _ESTIMATE)
 
@@ -240,7 +241,9 @@ def distances(docs: DataFrame) -> DataFrame:
         scale = scale.join(off.select(F.col("k").alias(f"g{i}"), F.col("off").alias(f"o{i}")), f"g{i}")
     t1, t2 = (F.col(f"n{i}") / (F.col(f"n{i}") + WORTH) for i in (1, 2))
     scale = scale.select(F.col("g2").alias("g"), F.greatest(F.exp(t2 * F.col("o2") + (1 - t2) * (t1 * F.col("o1") + (1 - t1) * F.col("o0"))), F.lit(1.0)).alias("scale"))
-    drop_written(best)
+    scale = written(scale, "scales")
+    for done in (best, names, off):
+        drop_written(done)
     return rated.join(scale, "g").select("doc_id", "th", "lang", "source", F.round(F.col("d2") / F.col("scale"), 6).alias("distance"))
 
 
