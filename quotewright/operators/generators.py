@@ -5,10 +5,12 @@ All take keyword arguments that they don't know, as pipelines hand theirs to eve
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from quotewright.functions.stopwords import CONTEXTUAL
 _ORDER = ("row_id", "pos")
 #: Rows of a block of vectors that one task multiplies; queries whose exact neighbours set the bucket length of approximate search.
 BLOCK, SAMPLED = 20_000, 64
+#: Segments of a block whose words are compared.
+QUERY_TEXTS, SOURCE_TEXTS = 256, 512
 
 
 def _side(segments: DataFrame, side: str, *more: str) -> DataFrame:
@@ -82,26 +86,38 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 _SCORED = pa.schema([("query_id", pa.string()), ("source_id", pa.string()), ("r", pa.int64()), ("p", pa.int64()), ("candidate_score", pa.float64())])
 
 
-def _nearest_of_block(k: int, digits: int | None):
+Scores = Callable[[pa.Table, pa.Table], Iterator[tuple[int, np.ndarray]]]
+Rate = Callable[[np.ndarray], np.ndarray]
+
+
+def _products(q: pa.Table, s: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    v, u = _matrix(q["v"]), _matrix(s["u"])
+    step = max(1, (1 << 22) // len(u))
+    for at in range(0, len(v), step):
+        yield at, v[at : at + step] @ u.T
+
+
+def _best_of_block(k: int, scores: Scores, rate: Rate):
+    """The ``k`` best sources of each query by ``rate`` of its scores, ties in source order."""
+
     def run(q: pa.Table, s: pa.Table) -> pa.Table:
         if not q.num_rows or not s.num_rows:
             return _SCORED.empty_table()
         s = s.sort_by([("r", "ascending"), ("p", "ascending"), ("source_id", "ascending")])
-        v, u = _matrix(q["v"]), _matrix(s["u"])
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        step = max(1, (1 << 22) // len(u))
-        for at in range(0, len(v), step):
-            score = v[at : at + step] @ u.T
-            rated = score if digits is None else np.round(score, digits)
-            if len(u) > k:
+        for at, score in scores(q, s):
+            rated, n = rate(score), score.shape[1]
+            if n > k:
                 pick = np.argpartition(-rated, k - 1, axis=1)[:, :k]
                 least = np.take_along_axis(rated, pick, 1).min(axis=1)
-                for i in np.flatnonzero((rated >= least[:, None]).sum(axis=1) > k):  # ties go by source order
+                for i in np.flatnonzero((rated >= least[:, None]).sum(axis=1) > k):
                     above, same = np.flatnonzero(rated[i] > least[i]), np.flatnonzero(rated[i] == least[i])
                     pick[i] = np.concatenate([above, same[: k - len(above)]])
             else:
-                pick = np.tile(np.arange(len(u)), (len(score), 1))
+                pick = np.tile(np.arange(n), (len(score), 1))
             found.append((np.repeat(np.arange(at, at + len(score)), pick.shape[1]), pick.ravel(), np.take_along_axis(score, pick, 1).ravel()))
+        if not found:
+            return _SCORED.empty_table()
         i, j, c = (np.concatenate(x) for x in zip(*found))
         i, j = pa.array(i), pa.array(j)
         return pa.table([q["query_id"].take(i), *[s[n].take(j) for n in ("source_id", "r", "p")], pa.array(c)], schema=_SCORED)
@@ -109,16 +125,22 @@ def _nearest_of_block(k: int, digits: int | None):
     return run
 
 
-def _block_scores(q: DataFrame, s: DataFrame, k: int, digits: int | None = None) -> DataFrame:
-    """The ``k`` best of each query in each block: sides (.., at, v) and (.., at, u), paired where ``at`` is equal."""
-    s = s.select("source_id", F.col("source_order.r").cast("long").alias("r"), F.col("source_order.p").cast("long").alias("p"), "at", "u")
-    rows = q.select("query_id", "at", "v").groupBy("at").cogroup(s.groupBy("at")).applyInArrow(_nearest_of_block(k, digits), "query_id string, source_id string, r long, p long, candidate_score double")
+def _in_blocks(q: DataFrame, s: DataFrame, k: int, scores: Scores, rate: Rate) -> DataFrame:
+    """The ``k`` best of each query in each block: sides (.., at) paired where ``at`` is equal."""
+    s = s.select("source_id", F.col("source_order.r").cast("long").alias("r"), F.col("source_order.p").cast("long").alias("p"), *[c for c in s.columns if c not in ("source_id", "source_order")])
+    rows = q.groupBy("at").cogroup(s.groupBy("at")).applyInArrow(_best_of_block(k, scores, rate), "query_id string, source_id string, r long, p long, candidate_score double")
     return rows.select("query_id", "source_id", F.struct("r", "p").alias("source_order"), "candidate_score")
 
 
-def blocked(q: DataFrame, s: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _block_scores(q: DataFrame, s: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """The same for vectors: sides (.., at, v) and (.., at, u)."""
+    rate = (lambda x: x) if digits is None else (lambda x: np.round(x, digits))
+    return _in_blocks(q.select("query_id", "at", "v"), s.select("source_id", "source_order", "at", "u"), k, _products, rate)
+
+
+def blocked(q: DataFrame, s: DataFrame, q_rows: int = BLOCK, s_rows: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Both sides with ``at``: each query block meets each source block in one group."""
-    nq, ns = (max(1, -(-d.count() // BLOCK)) for d in (q, s))
+    nq, ns = max(1, -(-q.count() // q_rows)), max(1, -(-s.count() // s_rows))
     own = lambda d, key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = q.withColumn("x", own(q, "query_id", nq)).withColumn("y", each(ns)).withColumn("at", F.struct("x", "y")).drop("x", "y")
@@ -189,12 +211,45 @@ def bigrams(tokens: Column, interval: int = 0) -> Column:
     return F.when(n >= 2, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 2), at)))).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
 
 
-def word_similarities(words: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(x, y, sim): similarity in [0, 1] of the words of the query (x) and of the source (y) that have vectors."""
-    v = vectors.select("word", unit(F.col("vector")).alias("vector"))
-    x = words.where("side = 0").select("word").distinct().join(v, "word").select(F.col("word").alias("x"), F.col("vector").alias("vx"))
-    y = words.where("side = 1").select("word").distinct().join(v, "word").select(F.col("word").alias("y"), F.col("vector").alias("vy"))
-    return x.crossJoin(y).select("x", "y", tx.clamped_cosine(dot(F.col("vx"), F.col("vy"))).alias("sim"))
+def _cells(words: np.ndarray, interval: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and second words of the pairs of neighbours at most ``interval`` words apart."""
+    pairs = [(words[: len(words) - k], words[k:]) for k in range(1, interval + 2) if len(words) > k]
+    return tuple(np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _bigram_scores(interval: int) -> Scores:
+    """Rows of a side are segments (id, tokens) and, without id, the words of the block (word, vector)."""
+
+    def vocabulary(t: pa.Table, key: str) -> tuple[dict[str, int], np.ndarray, pa.Table]:
+        known = t.filter(pc.is_null(t[key]))
+        return {w: i for i, w in enumerate(known["word"].to_pylist())}, _matrix(known["vector"]), t.filter(pc.is_valid(t[key]))
+
+    def mean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.where(np.isnan(x), y, np.where(np.isnan(y), x, (x + y) / 2))
+
+    def run(q: pa.Table, s: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        (qv, v, q), (sv, u, s) = vocabulary(q, "query_id"), vocabulary(s, "source_id")
+        # similarities of the words of both blocks, with a row and a column of NaN for words without a vector
+        sim = np.full((len(qv) + 1, len(sv) + 1), np.nan)
+        if len(qv) and len(sv):
+            sim[:-1, :-1] = np.clip((v @ u.T + 1) / 2, 0, 1)
+        pairs = [_cells(np.array([sv.get(w, len(sv)) for w in x], np.int64), interval) for x in s["tokens"].to_pylist()]
+        size = np.array([len(c) for c, _ in pairs], np.int64)
+        code = np.concatenate([c * (len(sv) + 1) + d for c, d in pairs]) if size.sum() else np.zeros(0, np.int64)
+        code, back = np.unique(code, return_inverse=True)
+        c, d = np.divmod(code, len(sv) + 1)
+        first, some = np.concatenate([[0], np.cumsum(size)[:-1]]), size > 0
+        for i, words in enumerate(q["tokens"].to_pylist()):
+            a, b = _cells(np.array([qv.get(w, len(qv)) for w in words], np.int64), interval)
+            best = np.full(len(code), np.nan)
+            for x, y in set(zip(a.tolist(), b.tolist())):
+                best = np.fmax(best, np.fmax(mean(sim[x, c], sim[y, d]), mean(sim[x, d], sim[y, c])))
+            row = np.zeros(len(size))
+            if some.any():
+                row[some] = np.nan_to_num(np.fmax.reduceat(best[back], first[some]))
+            yield i, row[None]
+
+    return run
 
 
 def bigram(query: DataFrame, source: DataFrame, vectors: DataFrame, *, interval: int = 0, order_free: bool = True, top_k: int = 100, digits: int | None = None, **_: object) -> DataFrame:
@@ -202,26 +257,21 @@ def bigram(query: DataFrame, source: DataFrame, vectors: DataFrame, *, interval:
 
     Two bigrams score the better of the mean of (first, first) and (second, second) and of the crossed mean; a word
     without a vector is left out of its mean.  A query without bigrams has no candidates, a source without any
-    scores 0.  ``order_free`` can't change a score, as crossing is symmetric.  Distinct bigrams are scored once, however
-    many segments have them."""
-    def side(segments: DataFrame, name: str) -> DataFrame:
-        return _side(segments, name, bigrams(tx.latin_tokens(F.col("text")), interval).alias("grams"))
-
-    q, s = side(query, "query"), side(source, "source")
-    qg, sg = q.select("query_id", F.explode("grams").alias("g")), s.select("source_id", F.explode("grams").alias("h"))
-    words = lambda d, c, k: d.select(F.explode(F.array(f"{c}.a", f"{c}.b")).alias("word"), F.lit(k).alias("side"))
-    sim = word_similarities(words(qg, "g", 0).union(words(sg, "h", 1)), vectors)
-    g, h = qg.select("g").distinct(), sg.select("h").distinct()
-    pairs = g.crossJoin(h)
-    for name, a, b in (("aa", "g.a", "h.a"), ("bb", "g.b", "h.b"), ("ab", "g.a", "h.b"), ("ba", "g.b", "h.a")):
-        pairs = pairs.join(sim.select(F.col("x").alias(f"x_{name}"), F.col("y").alias(f"y_{name}"), F.col("sim").alias(name)), (F.col(a) == F.col(f"x_{name}")) & (F.col(b) == F.col(f"y_{name}")), "left").drop(f"x_{name}", f"y_{name}")
-    mean = lambda a, b: F.when(F.col(a).isNull(), F.col(b)).when(F.col(b).isNull(), F.col(a)).otherwise((F.col(a) + F.col(b)) / 2)
-    scored = pairs.select("g", "h", F.greatest(mean("aa", "bb"), mean("ab", "ba")).alias("score")).where("score is not null")
-    best = qg.join(scored, "g").join(sg, "h").groupBy("query_id", "source_id").agg(F.max("score").alias("score"))
-    all_pairs = q.where(F.size("grams") > 0).select("query_id").crossJoin(s.select("source_id", "source_order"))
-    value = F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0))
-    value = F.round(value, digits) if digits is not None else value
-    return ranked(all_pairs.join(best, ["query_id", "source_id"], "left").select("query_id", "source_id", "source_order", value.alias("candidate_score")), max(1, int(top_k)))
+    scores 0.  ``order_free`` can't change a score, as crossing is symmetric.  Both sides are dealt to blocks, and every pair of
+    blocks is a task: it gets the vectors of its words once, compares distinct bigrams, and passes on each query's ``top_k``."""
+    k = max(1, int(top_k))
+    known = vectors.select("word", unit(F.col("vector")).alias("vector"))
+    tokens = tx.latin_tokens(F.col("text"))
+    q = _side(query, "query", tokens.alias("tokens")).where(F.size("tokens") > 1).drop("query_order")
+    q, s = blocked(q, _side(source, "source", tokens.alias("tokens")), QUERY_TEXTS, SOURCE_TEXTS)
+
+    def with_words(side: DataFrame) -> DataFrame:
+        words = side.select("at", F.explode("tokens").alias("word")).distinct().join(known, "word")
+        return side.unionByName(words, allowMissingColumns=True)
+
+    rate = (lambda x: x) if digits is None else (lambda x: np.round(x, digits))
+    scored = _in_blocks(with_words(q), with_words(s), k, _bigram_scores(interval), rate)
+    return ranked(scored if digits is None else scored.withColumn("candidate_score", F.round("candidate_score", digits)), k)
 
 
 def content_words(text: Column, *, min_length: int = 2, stopwords: frozenset[str] | None = CONTEXTUAL) -> Column:
@@ -230,18 +280,40 @@ def content_words(text: Column, *, min_length: int = 2, stopwords: frozenset[str
     return F.filter(words, lambda t: (F.length(t) >= min_length) & (~F.lower(t).isin(*sorted(stopwords)) if stopwords else F.lit(True)))
 
 
+def _word_scores(q: pa.Table, s: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Best product of a vector of the query and one of the source; 0 where a side has none."""
+
+    def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        lists = pa.concat_arrays([c for c in column.chunks])
+        size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+        inner = lists.flatten()
+        return np.asarray(inner.flatten()).reshape(len(inner), -1) if len(inner) else np.zeros((0, 0)), np.concatenate([[0], np.cumsum(size)])
+
+    (v, vp), (u, up) = flat(q["v"]), flat(s["u"])
+    some = np.diff(up) > 0
+    for i in range(q.num_rows):
+        row = np.zeros(s.num_rows)
+        if vp[i + 1] > vp[i] and len(u):
+            mine = v[vp[i] : vp[i + 1]]
+            best = np.concatenate([(mine @ u[k : k + 50_000].T).max(axis=0) for k in range(0, len(u), 50_000)])
+            row[some] = np.maximum.reduceat(best, up[:-1][some])
+        yield i, row[None]
+
+
 def contextual(query_vectors: DataFrame, source_vectors: DataFrame, query: DataFrame, source: DataFrame, *, top_k: int = 100, digits: int | None = None, **_: object) -> DataFrame:
     """Best cosine of a word of the query and a word of the source in context, as (cosine + 1) / 2; 0.5 (a cosine of 0) where a side has no
     words.  ``*_vectors``: (seg_id, vector), a row a word; zero vectors are left out.
 
-    Equal vectors of a segment count once; pairs of segments keep only their best on the map side."""
-    def side(vectors: DataFrame, name: str, v: str) -> DataFrame:
-        rows = vectors.select(F.col("seg_id").alias(f"{name}_id"), unit(F.col("vector")).alias(v))
-        return rows.where(F.exists(v, lambda x: x != 0)).distinct()
-
-    a, b = side(query_vectors, "query", "v"), side(source_vectors, "source", "u")
-    best = a.crossJoin(b).groupBy("query_id", "source_id").agg(F.max(dot(F.col("v"), F.col("u"))).alias("c"))
-    pairs = _side(query, "query").select("query_id").crossJoin(_side(source, "source"))
-    value = tx.clamped_cosine(F.coalesce("c", F.lit(0.0)))
-    value = F.round(value, digits) if digits is not None else value
-    return ranked(pairs.join(best, ["query_id", "source_id"], "left").select("query_id", "source_id", "source_order", value.alias("candidate_score")), max(1, int(top_k)))
+    Equal vectors of a segment count once.  Both sides are dealt to blocks, and every pair of blocks is a task that
+    multiplies the vectors of its words and passes on each query's ``top_k``."""
+    k = max(1, int(top_k))
+
+    def side(segments: DataFrame, vectors: DataFrame, name: str, v: str) -> DataFrame:
+        rows = vectors.select(F.col("seg_id").alias(f"{name}_id"), unit(F.col("vector")).alias(v)).where(F.exists(v, lambda x: x != 0))
+        return _side(segments, name).join(rows.groupBy(f"{name}_id").agg(F.collect_set(v).alias(v)), f"{name}_id", "left")
+
+    q, s = blocked(side(query, query_vectors, "query", "v").drop("query_order"), side(source, source_vectors, "source", "u"), QUERY_TEXTS, SOURCE_TEXTS)
+    value = lambda c: np.clip((c + 1) / 2, 0, 1)
+    scored = _in_blocks(q, s, k, _word_scores, value if digits is None else lambda c: np.round(value(c), digits))
+    score = tx.clamped_cosine(F.col("candidate_score"))
+    return ranked(scored.withColumn("candidate_score", score if digits is None else F.round(score, digits)), k)

@@ -352,33 +352,32 @@ def bigram_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d).select("seg_id", F.explode(generators.bigrams(tx.latin_tokens(F.col("text")))).alias("g")).select("seg_id", "g.a", "g.b")
 
 
-@query(f"""{_GRAMS},
-v AS (SELECT word, {_HEX} AS v FROM (SELECT DISTINCT unnest(w) AS word FROM t)),
-m AS (SELECT x.word AS x, y.word AS y, {_COS.format(a='x.v', b='y.v')} AS sim FROM v x, v y),
-d AS (SELECT DISTINCT g FROM g),
-p AS (SELECT dx.g AS g, dy.g AS h, greatest((aa.sim + bb.sim) / 2, (ab.sim + ba.sim) / 2) AS score FROM d dx, d dy
-  JOIN m aa ON aa.x = dx.g.a AND aa.y = dy.g.a JOIN m bb ON bb.x = dx.g.b AND bb.y = dy.g.b JOIN m ab ON ab.x = dx.g.a AND ab.y = dy.g.b JOIN m ba ON ba.x = dx.g.b AND ba.y = dy.g.a),
-r AS (SELECT a.id AS q, b.id AS s, round(max(score), 6) AS score FROM p JOIN g a ON a.g = p.g JOIN g b ON b.g = p.h GROUP BY a.id, b.id)
-SELECT CAST(q AS VARCHAR) AS query_id, CAST(s AS VARCHAR) AS source_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, s) AS INT) AS rank, score AS candidate_score
-FROM r QUALIFY rank <= 10""")
+@query()
 def bigram_topk(spark: SparkSession, d: str) -> DataFrame:
-    q = _items(spark, d)
-    words = q.select(F.explode(tx.latin_tokens(F.col("text"))).alias("word"))
-    return generators.bigram(q, q, hash_vectors(words), top_k=10, digits=6)
+    """No SQL: all bigrams of the items against all of the documents are too many for it."""
+    q, s = _items(spark, d), _docs(spark, d)
+    words = q.select("text").union(s.select("text")).select(F.explode(tx.latin_tokens(F.col("text"))).alias("word"))
+    return generators.bigram(q, s, hash_vectors(words), top_k=10, digits=6)
 
 
 _CONTENT = f"list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda t: length(t) >= 2 AND lower(t) NOT IN ({', '.join(repr(w) for w in sorted(CONTEXTUAL))}))"
 
 
-@query(f"""WITH w AS (SELECT DISTINCT item_id AS id, lower(unnest({_CONTENT})) AS word FROM benchmark), v AS (SELECT word, {_HEX} AS v FROM (SELECT DISTINCT word FROM w)),
-m AS (SELECT x.word AS x, y.word AS y, {_COS.format(a='x.v', b='y.v')} AS sim FROM v x, v y),
-r AS (SELECT a.id AS q, b.id AS s, round(max(sim), 6) AS score FROM w a JOIN m ON m.x = a.word JOIN w b ON b.word = m.y GROUP BY a.id, b.id)
-SELECT CAST(q AS VARCHAR) AS query_id, CAST(s AS VARCHAR) AS source_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, s) AS INT) AS rank, score AS candidate_score FROM r QUALIFY rank <= 10""")
+@query(f"""WITH a AS (SELECT DISTINCT item_id AS id, lower(unnest({_CONTENT})) AS word FROM benchmark), b AS (SELECT DISTINCT doc_id AS id, lower(unnest({_CONTENT})) AS word FROM documents),
+v AS (SELECT word, {_HEX} AS v FROM (SELECT word FROM a UNION SELECT word FROM b)),
+m AS (SELECT x.word AS x, y.word AS y, {_COS.format(a='x.v', b='y.v')} AS sim FROM (SELECT DISTINCT word FROM a) p JOIN v x USING (word), (SELECT DISTINCT word FROM b) r JOIN v y USING (word)),
+w AS (SELECT a.id AS q, y, max(sim) AS sim FROM a JOIN m ON m.x = a.word GROUP BY a.id, y),
+r AS (SELECT q, b.id AS s, max(sim) AS sim FROM w JOIN b ON b.word = w.y GROUP BY q, b.id),
+p AS (SELECT item_id AS q, doc_id AS s, round(coalesce(sim, 0.5), 6) AS score FROM (SELECT item_id, doc_id FROM benchmark, documents) LEFT JOIN r ON r.q = item_id AND r.s = doc_id)
+SELECT CAST(q AS VARCHAR) AS query_id, CAST(s AS VARCHAR) AS source_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, s) AS INT) AS rank, score AS candidate_score FROM p QUALIFY rank <= 10""")
 def contextual_topk(spark: SparkSession, d: str) -> DataFrame:
-    q = _items(spark, d)
-    words = q.select("seg_id", F.explode(generators.content_words(F.col("text"))).alias("word")).withColumn("word", F.lower("word"))
-    v = words.join(hash_vectors(words), "word").select("seg_id", "vector")
-    return generators.contextual(v, v, q, q, top_k=10, digits=6)
+    q, s = _items(spark, d), _docs(spark, d)
+
+    def vectors(segments: DataFrame) -> DataFrame:
+        words = segments.select("seg_id", F.explode(generators.content_words(F.col("text"))).alias("word")).withColumn("word", F.lower("word")).distinct()
+        return words.join(hash_vectors(words), "word").select("seg_id", "vector")
+
+    return generators.contextual(vectors(q), vectors(s), q, s, top_k=10, digits=6)
 
 
 # --- evaluation -------------------------------------------------------------------------------------------------------
@@ -490,7 +489,7 @@ def embedding_lsh(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def word_vectors(spark: SparkSession, d: str) -> DataFrame:
-    trainer = models.WordVectorTrainer(vector_size=16, epochs=1, min_count=2).fit(_table(spark, d, "benchmark"))
+    trainer = models.WordVectorTrainer(vector_size=64, epochs=2).fit(_table(spark, d, "documents"))
     return trainer.vectors()
 
 
