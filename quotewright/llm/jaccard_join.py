@@ -31,6 +31,8 @@ from .graph import components
 N, THRESHOLD, RECALL, MOST_HASHES = 3, 0.5, 0.98, 256
 #: Grams and texts of one block of a component; rows of a bucket whose sketches are compared with each other.
 BLOCK_GRAMS, BLOCK_NODES, BUCKET = 2_000_000, 2_000, 512
+#: Pairs of texts that are counted at a time; pairs in a matrix product that cost as much as one by itself.
+CELLS, DENSE = 1 << 21, 200
 #: Bytes of a sketch, and deviations that its agreement may fall short of the threshold.
 SKETCH, SIGMAS = 64, 4.0
 _U = np.uint64
@@ -158,71 +160,135 @@ def _sets(n: int):
     return run
 
 
-def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of every set of ``left`` with every one of ``right`` (indices)."""
-    size = np.array([len(s) for s in sets])
+def _numbered(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(number of the gram, set) of the grams that several sets have, in the order of the sets, and how many such grams there are."""
     gram = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), size)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    if not len(gram):
+        return np.zeros(0, np.int64), owner, 0
     order = np.argsort(gram, kind="stable")
-    gram, owner = gram[order], owner[order]
-    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, int)
-    df = np.diff(np.concatenate([start, [len(gram)]]))
-    out = np.zeros((len(left), len(right)), np.float32)
-    at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
-    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
-    col = np.repeat(np.arange(len(start)), df)
-    shared = df[col] > 1
-    col, owner, df_of = col[shared], owner[shared], df[col][shared]
-    many = df_of > max(8, len(sets) // 64)
-    # grams that many sets have: products of 0/1 matrices, some columns at a time
-    c, o = col[many], owner[many]
-    _, c = np.unique(c, return_inverse=True)
-    step = 4096
-    for k in range(0, int(c.max()) + 1 if len(c) else 0, step):
-        lo, hi = np.searchsorted(c, (k, k + step))
-        m = np.zeros((len(sets), step), np.float32)
-        m[o[lo:hi], c[lo:hi] - k] = 1
-        out += m[left] @ m[right].T
-    # grams that few have: their pairs one by one
-    c, o, d = col[~many], owner[~many], df_of[~many]
-    for k in range(2, int(d.max()) + 1 if len(d) else 0):
-        rows = o[d == k].reshape(-1, k)
-        for i in range(k):
-            for j in range(k):
-                x, y = at_left[rows[:, i]], at_right[rows[:, j]]
-                ok = (x >= 0) & (y >= 0) & (i != j if left is right else True)
-                np.add.at(out, (x[ok], y[ok]), 1)
+    gram = gram[order]
+    run = np.cumsum(np.concatenate([[True], gram[1:] != gram[:-1]])) - 1
+    shared = np.bincount(run) > 1
+    number = np.empty(len(gram), np.int64)
+    number[order] = np.where(shared, np.cumsum(shared) - 1, -1)[run]
+    keep = number >= 0
+    return number[keep], owner[keep], int(shared.sum())
+
+
+def _in_common(gl: np.ndarray, x: np.ndarray, gr: np.ndarray, y: np.ndarray, rows: int, cols: int, total: int, kind: type = np.float32) -> np.ndarray:
+    """How many of ``total`` grams each row has in common with each column, from (gl, x) of the rows and (gr, y) of the columns."""
+    out = np.zeros((rows, cols), kind)
+    nl, nr = np.bincount(gl, minlength=total), np.bincount(gr, minlength=total)
+    pairs = nl * nr
+    hot = pairs * DENSE > rows * cols
+    # grams of many pairs: products of 0/1 matrices, some grams at a time
+    place = np.where(hot, np.cumsum(hot) - 1, -1)
+    sides = []
+    for g, at in ((gl, x), (gr, y)):
+        k = place[g]
+        at, k = at[k >= 0], k[k >= 0]
+        order = np.argsort(k, kind="stable")
+        sides.append((k[order], at[order]))
+    n, step = int(hot.sum()), max(64, min(4096, 2 * CELLS // (rows + cols)))
+    for first in range(0, n, step):
+        wide, m = min(step, n - first), []
+        for (k, at), size in zip(sides, (rows, cols)):
+            lo, hi = np.searchsorted(k, (first, first + wide))
+            m.append(np.zeros((size, wide), kind))
+            m[-1][at[lo:hi], k[lo:hi] - first] = 1
+        out += m[0] @ m[1].T
+    # grams of few pairs: the pairs themselves
+    cold = (pairs > 0) & ~hot
+    if cold.any():
+        begin = np.cumsum(np.where(cold, nr, 0)) - nr
+        gl, x, gr, y = gl[cold[gl]], x[cold[gl]], gr[cold[gr]], y[cold[gr]]
+        y, each = y[np.argsort(gr, kind="stable")], nr[gl]
+        upto = np.cumsum(each)
+        a = 0
+        while a < len(gl):
+            done = upto[a] - each[a]
+            b = max(a + 1, int(np.searchsorted(upto, done + CELLS, side="right")))
+            at = np.repeat(begin[gl[a:b]] - (upto[a:b] - each[a:b] - done), each[a:b]) + np.arange(upto[b - 1] - done)
+            out += np.bincount(np.repeat(x[a:b] * cols, each[a:b]) + y[at], minlength=rows * cols).reshape(rows, cols).astype(kind)
+            a = b
     return out
 
 
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of every set of ``left`` with every one of ``right`` (indices)."""
+    gram, owner, total = _numbered(sets)
+    parts = []
+    for of in (left, right):
+        at = np.full(len(sets), -1)
+        at[of] = np.arange(len(of))
+        k = at[owner]
+        parts += [gram[k >= 0], k[k >= 0]]
+    return _in_common(*parts, len(left), len(right), total)
+
+
+def merged(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``label``, a number below its length for each node, with the groups joined that links (x, y) between nodes connect."""
+    while True:
+        a, b = label[x], label[y]
+        apart = a != b
+        if not apart.any():
+            return label
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        to = np.arange(len(label))
+        np.minimum.at(to, np.maximum(a, b), np.minimum(a, b))
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
+def linked_pairs(sets: list[np.ndarray], n_left: int | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (x, y) of the sets whose Jaccard similarity is at least ``threshold``, some at a time, each pair once: of the first ``n_left``
+    sets with the others, or if it is None, of all with each other.  Either part comes sorted by size."""
+    size = np.array([len(s) for s in sets], np.int64)
+    same = n_left is None
+    n_left, start = (len(sets), 0) if same else (n_left, n_left)
+    gram, owner, total = _numbered(sets)
+    ptr = np.searchsorted(owner, np.arange(len(sets) + 1))
+    kind = np.float32 if size.max(initial=0) < 1 << 24 else np.float64
+    step = max(1, CELLS // max(1, len(sets) - start))
+    for a in range(0, n_left, step):
+        b = min(n_left, a + step)
+        # sets of other sizes can't be as similar
+        c = start + int(np.searchsorted(size[start:], size[a] * threshold * (1 - 1e-9)))
+        d = start + int(np.searchsorted(size[start:], size[b - 1] / threshold * (1 + 1e-9), side="right"))
+        c = max(c, a) if same else c
+        if c >= d:
+            continue
+        rows, cols = slice(ptr[a], ptr[b]), slice(ptr[c], ptr[d])
+        both = _in_common(gram[rows], owner[rows] - a, gram[cols], owner[cols] - c, b - a, d - c, total, kind)
+        least = threshold / (1 + threshold) * (1 - 1e-5)
+        x, y = np.nonzero(both >= (size[a:b] * least).astype(kind)[:, None] + (size[c:d] * least).astype(kind)[None, :])
+        n = both[x, y].astype(np.float64)
+        x, y = x + a, y + c
+        ok = n / (size[x] + size[y] - n) >= threshold - 1e-12
+        if same:
+            ok &= x < y
+        yield x[ok], y[ok]
+
+
 def _verify(threshold: float):
     """Rows (node, links, label) of the nodes of one or two blocks: linked documents, and the least node reached by links."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        bi, bj = key[1].as_py(), key[2].as_py()
-        node, block, docs = np.asarray(t["node"]), np.asarray(t["block"]), np.asarray(t["docs"])
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t["grams"]]
-        size = np.array([len(s) for s in sets], np.float32)
-        left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
-        both = intersections(sets, left, left if bi == bj else right)
-        jac = both / np.maximum(1, size[left][:, None] + size[right][None, :] - both)
-        x, y = np.nonzero(jac >= np.float32(threshold) - 1e-6)
-        exact = both[x, y].astype(np.float64) / (size[left[x]].astype(np.float64) + size[right[y]] - both[x, y])
-        x, y = left[x], right[y]
-        ok = (x != y) & (exact >= threshold - 1e-12)
-        x, y = x[ok], y[ok]
-        links = np.bincount(x, weights=docs[y], minlength=len(node))
-        if bi != bj:
-            links += np.bincount(y, weights=docs[x], minlength=len(node))
-        label = node.copy()
-        while True:
-            before = label.copy()
-            least = np.minimum(label[x], label[y])
-            np.minimum.at(label, x, least)
-            np.minimum.at(label, y, least)
-            if (before == label).all():
-                break
-        return pa.table({"node": pa.array(node), "links": pa.array(links.astype(np.int64)), "label": pa.array(label)})
+        right, size = np.asarray(t["block"]) != key[1].as_py(), np.asarray(t["size"])
+        order = np.lexsort((size, right))
+        node, docs = np.asarray(t["node"])[order], np.asarray(t["docs"])[order]
+        grams = t["grams"].to_pylist()
+        sets = [np.frombuffer(grams[k], np.uint64) for k in order.tolist()]
+        links, label = np.zeros(len(node)), np.arange(len(node))
+        # of two blocks one may be empty
+        for x, y in linked_pairs(sets, None if key[1] == key[2] else int((~right).sum()), threshold):
+            links += np.bincount(x, weights=docs[y], minlength=len(node)) + np.bincount(y, weights=docs[x], minlength=len(node))
+            label = merged(label, x, y)
+        least = np.full(len(node), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, node)
+        return pa.table({"node": pa.array(node), "links": pa.array(links.astype(np.int64)), "label": pa.array(least[label])})
 
     return run
 
@@ -255,8 +321,8 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[D
     size = sets.groupBy("comp").agg(F.sum("size").alias("grams"), F.count("*").alias("nodes")).where("nodes > 1")
     blocks = size.select("comp", F.greatest(F.ceil(F.col("grams") / BLOCK_GRAMS), F.ceil(F.col("nodes") / BLOCK_NODES)).cast("int").alias("nb"))
     placed = sets.join(blocks, "comp").withColumn("block", F.expr("cast(pmod(xxhash64(node), nb) as int)"))
-    sent = placed.select("comp", "node", "docs", "block", "grams", F.explode(F.expr("sequence(0, nb - 1)")).alias("o"))
-    sent = sent.select("comp", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), "node", "docs", "block", "grams")
+    sent = placed.select("comp", "node", "docs", "size", "block", "grams", F.explode(F.expr("sequence(0, nb - 1)")).alias("o"))
+    sent = sent.select("comp", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), "node", "docs", "size", "block", "grams")
     found = sent.groupBy("comp", "bi", "bj").applyInArrow(_verify(threshold), "node long, links long, label long").where("links > 0")
     found = written(found, "found")
     # labels of different tasks meet where a component has several blocks

@@ -3,6 +3,7 @@ tables and clashing columns."""
 
 import math
 import random
+import time
 import re
 from collections import Counter, defaultdict
 
@@ -554,6 +555,52 @@ def test_intersections():
     assert all(again[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(20) for j in range(20) if i != j)
 
 
+def verified(sets, docs, block, t=jaccard_join.THRESHOLD, ends=None):
+    """{node: (links, label)} of one task; the nodes are numbered from the last set on."""
+    import pyarrow as pa
+
+    node = np.arange(len(sets))[::-1].copy()
+    data = {"node": node, "docs": docs, "size": [len(s) for s in sets], "block": np.asarray(block, np.int32), "grams": pa.array([s.tobytes() for s in sets], pa.binary())}
+    out = jaccard_join._verify(t)((pa.scalar(1), *map(pa.scalar, ends or (min(block), max(block)))), pa.table(data))
+    return {n: (links, label) for n, links, label in zip(*(out[c].to_pylist() for c in ("node", "links", "label")))}
+
+
+@pytest.mark.parametrize("cells, dense", [(1 << 21, 200), (1, 200), (50, 0), (300, 10**9)])
+def test_verified_pairs_of_blocks(monkeypatch, cells, dense):
+    monkeypatch.setattr(jaccard_join, "CELLS", cells)
+    monkeypatch.setattr(jaccard_join, "DENSE", dense)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, k, rng.integers(1, 40)).astype(np.uint64)) for k in [12] * 20 + [60] * 40 + [10**9] * 4]
+    docs = rng.integers(1, 4, len(sets))
+    for blocks in (1, 2):
+        block = np.arange(len(sets)) % blocks
+        near = [[b for b in range(len(sets)) if b != a and (blocks == 1 or block[a] != block[b]) and 2 * len(np.intersect1d(sets[a], sets[b])) >= len(np.union1d(sets[a], sets[b]))] for a in range(len(sets))]
+        want = {}
+        for a in range(len(sets)):
+            seen, todo = {a}, [a]
+            while todo:
+                todo = [b for x in todo for b in near[x] if b not in seen]
+                seen |= set(todo)
+            want[len(sets) - 1 - a] = (sum(docs[near[a]]), len(sets) - 1 - max(seen))
+        assert verified(sets, docs, block) == want and sum(links for links, _ in want.values()) > 20
+    # a task of two blocks of which one is empty has no pairs
+    for ends in ((0, 1), (1, 2)):
+        assert set(verified(sets, docs, np.ones(len(sets)), ends=ends).values()) == {(0, k) for k in range(len(sets))}
+
+
+def test_pairs_of_a_loose_component_are_cheap():
+    rng = np.random.default_rng(5)
+    n = 4000
+    own = [[] for _ in range(n)]
+    for g in range(6000):  # lines and phrases that up to a hundred of the texts have
+        for k in rng.integers(0, n, 2 + g % 100).tolist():
+            own[k].append(g)
+    sets = [np.unique(np.array([*x, 10**6 + k], np.uint64)) for k, x in enumerate(own)]
+    began = time.process_time()
+    got = verified(sets, np.ones(n, int), np.arange(n) % 2)
+    assert time.process_time() - began < 1.5 and len(got) == n
+
+
 def test_one_of_each_group_stays(spark, docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     out = jaccard_join.keep_one(docs.withColumn("qw_text", F.lit("clash")).withColumn("g", F.lit(1)))
