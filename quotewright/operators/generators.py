@@ -19,7 +19,9 @@ from quotewright.functions.stopwords import CONTEXTUAL
 
 _ORDER = ("row_id", "pos")
 #: Rows of a block of vectors that one task multiplies; queries whose exact neighbours set the bucket length of approximate search.
-BLOCK, SAMPLED = 20_000, 64
+BLOCK, SAMPLED = 65_536, 64
+#: Queries and sources of a block that are multiplied at a time; candidates of these queries beyond which they are cut exactly.
+STEP, MOST_CANDIDATES = (512, 4096), 1_000_000
 #: Segments of a block whose words are compared.
 QUERY_TEXTS, SOURCE_TEXTS = 256, 512
 
@@ -68,11 +70,15 @@ def _vector_side(segments: DataFrame, side: str, vector: str, name: str) -> Data
 def embedding(query: DataFrame, source: DataFrame, *, top_k: int | None = 100, vector: str = "embedding", digits: int | None = None, **_: object) -> DataFrame:
     """Cosine of the column ``vector`` of both sides, exact; the ``top_k`` nearest of each query.
 
-    Both sides are dealt to blocks of BLOCK rows or so, and every pair of blocks is a task: one matrix product, of which each
-    query's ``top_k`` best go on.  With ``digits`` scores are rounded before they are ranked.  Rows without a vector are
+    Both sides are dealt to blocks of BLOCK rows at most or so, and every pair of blocks is a task, which passes on each query's ``top_k``
+    best.  Products in single precision tell which may be among these; only they are scored, in double precision.  With ``digits`` scores are rounded before they are ranked.  Rows without a vector are
     left out; a zero vector scores 0.  Without ``top_k`` the result has |query| x |source| rows by definition."""
-    q, s = _vector_side(query, "query", vector, "v").drop("query_order"), _vector_side(source, "source", vector, "u")
-    scored = q.crossJoin(s).select("query_id", "source_id", "source_order", dot(F.col("v"), F.col("u")).alias("candidate_score")) if top_k is None else exact_scores(q, s, top_k, digits)
+    if top_k is None:
+        q, s = _vector_side(query, "query", vector, "v").drop("query_order"), _vector_side(source, "source", vector, "u")
+        scored = q.crossJoin(s).select("query_id", "source_id", "source_order", dot(F.col("v"), F.col("u")).alias("candidate_score"))
+    else:
+        side = lambda d, name, v: _side(d, name, F.col(vector).alias(v)).where(F.col(v).isNotNull())
+        scored = exact_scores(side(query, "query", "v").drop("query_order"), side(source, "source", "u"), top_k, digits)
     if digits is not None:
         scored = scored.withColumn("candidate_score", F.round("candidate_score", digits))
     return ranked(scored, top_k)
@@ -90,11 +96,66 @@ Scores = Callable[[pa.Table, pa.Table], Iterator[tuple[int, np.ndarray]]]
 Rate = Callable[[np.ndarray], np.ndarray]
 
 
-def _products(q: pa.Table, s: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    v, u = _matrix(q["v"]), _matrix(s["u"])
-    step = max(1, (1 << 22) // len(u))
-    for at in range(0, len(v), step):
-        yield at, v[at : at + step] @ u.T
+def _units(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows stay."""
+    m = m.astype(np.float64)
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=m, where=n > 0)
+
+
+def _nearest_of_block(k: int, digits: int | None):
+    """The ``k`` sources of each query with the greatest cosines, rounded if asked for, ties in source order."""
+
+    def best(v: np.ndarray, u: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        score = np.concatenate([np.einsum("ij,ij->i", v[i[x : x + 65_536]], u[j[x : x + 65_536]]) for x in range(0, len(i), 65_536)])
+        rated = score if digits is None else np.round(score, digits)
+        order = np.lexsort((j, -rated, i))
+        i, j, score = i[order], j[order], score[order]
+        first = np.searchsorted(i, i)
+        kept = np.arange(len(i)) - first < k
+        return i[kept], j[kept], score[kept]
+
+    def run(q: pa.Table, s: pa.Table) -> pa.Table:
+        if not q.num_rows or not s.num_rows:
+            return _SCORED.empty_table()
+        s = s.sort_by([("r", "ascending"), ("p", "ascending"), ("source_id", "ascending")])
+        v, u = _units(_matrix(q["v"])), _units(_matrix(s["u"]))
+        v4, u4 = v.astype(np.float32), u.astype(np.float32)
+        # what single precision and rounding may change, of both values that are compared
+        margin = np.float32(2 * (v.shape[1] + 4) * 1.2e-7 + (0 if digits is None else 10.0**-digits))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in range(0, len(v), STEP[0]):
+            mine, few = v4[at : at + STEP[0]], v[at : at + STEP[0]]
+            least = np.full(len(mine), -np.inf, np.float32)
+            held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+            for x in range(0, len(u), STEP[1]):
+                near = mine @ u4[x : x + STEP[1]].T
+                n = near.shape[1]
+                if not x and n > k:
+                    least = np.partition(near, n - k, axis=1)[:, n - k] - margin
+                hit = np.flatnonzero(near >= least[:, None])
+                if not len(hit):
+                    continue
+                i, j, c = (np.concatenate(y) for y in zip(held, (hit // n, hit % n + x, near.ravel()[hit])))
+                if len(i) > MOST_CANDIDATES:
+                    i, j, c = best(few, u, i, j)
+                    c = c.astype(np.float32)
+                order = np.lexsort((-c, i))
+                i, j, c = i[order], j[order], c[order]
+                last = np.flatnonzero(np.arange(len(i)) - np.searchsorted(i, i) == k - 1)
+                least[i[last]] = c[last] - margin
+                kept = c >= least[i]
+                held = i[kept], j[kept], c[kept]
+            if len(held[0]):
+                i, j, c = best(few, u, *held[:2])
+                found.append((i + at, j, c))
+        if not found:
+            return _SCORED.empty_table()
+        i, j, c = (np.concatenate(x) for x in zip(*found))
+        i, j = pa.array(i), pa.array(j)
+        return pa.table([q["query_id"].take(i), *[s[n].take(j) for n in ("source_id", "r", "p")], pa.array(c)], schema=_SCORED)
+
+    return run
 
 
 def _best_of_block(k: int, scores: Scores, rate: Rate):
@@ -125,22 +186,22 @@ def _best_of_block(k: int, scores: Scores, rate: Rate):
     return run
 
 
-def _in_blocks(q: DataFrame, s: DataFrame, k: int, scores: Scores, rate: Rate) -> DataFrame:
-    """The ``k`` best of each query in each block: sides (.., at) paired where ``at`` is equal."""
+def _in_blocks(q: DataFrame, s: DataFrame, best: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+    """The best of each query in each block: sides (.., at) paired where ``at`` is equal."""
     s = s.select("source_id", F.col("source_order.r").cast("long").alias("r"), F.col("source_order.p").cast("long").alias("p"), *[c for c in s.columns if c not in ("source_id", "source_order")])
-    rows = q.groupBy("at").cogroup(s.groupBy("at")).applyInArrow(_best_of_block(k, scores, rate), "query_id string, source_id string, r long, p long, candidate_score double")
+    rows = q.groupBy("at").cogroup(s.groupBy("at")).applyInArrow(best, "query_id string, source_id string, r long, p long, candidate_score double")
     return rows.select("query_id", "source_id", F.struct("r", "p").alias("source_order"), "candidate_score")
 
 
 def _block_scores(q: DataFrame, s: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """The same for vectors: sides (.., at, v) and (.., at, u)."""
-    rate = (lambda x: x) if digits is None else (lambda x: np.round(x, digits))
-    return _in_blocks(q.select("query_id", "at", "v"), s.select("source_id", "source_order", "at", "u"), k, _products, rate)
+    return _in_blocks(q.select("query_id", "at", "v"), s.select("source_id", "source_order", "at", "u"), _nearest_of_block(k, digits))
 
 
 def blocked(q: DataFrame, s: DataFrame, q_rows: int = BLOCK, s_rows: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Both sides with ``at``: each query block meets each source block in one group."""
-    nq, ns = max(1, -(-q.count() // q_rows)), max(1, -(-s.count() // s_rows))
+    """Both sides with ``at``: each query block meets each source block in one group.  Smaller sides have smaller blocks, for more tasks."""
+    parts = lambda n, most: max(1, -(-n // most), min(4, -(-n // (most // 16))))
+    nq, ns = parts(q.count(), q_rows), parts(s.count(), s_rows)
     own = lambda d, key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = q.withColumn("x", own(q, "query_id", nq)).withColumn("y", each(ns)).withColumn("at", F.struct("x", "y")).drop("x", "y")
@@ -270,7 +331,7 @@ def bigram(query: DataFrame, source: DataFrame, vectors: DataFrame, *, interval:
         return side.unionByName(words, allowMissingColumns=True)
 
     rate = (lambda x: x) if digits is None else (lambda x: np.round(x, digits))
-    scored = _in_blocks(with_words(q), with_words(s), k, _bigram_scores(interval), rate)
+    scored = _in_blocks(with_words(q), with_words(s), _best_of_block(k, _bigram_scores(interval), rate))
     return ranked(scored if digits is None else scored.withColumn("candidate_score", F.round("candidate_score", digits)), k)
 
 
@@ -314,6 +375,6 @@ def contextual(query_vectors: DataFrame, source_vectors: DataFrame, query: DataF
 
     q, s = blocked(side(query, query_vectors, "query", "v").drop("query_order"), side(source, source_vectors, "source", "u"), QUERY_TEXTS, SOURCE_TEXTS)
     value = lambda c: np.clip((c + 1) / 2, 0, 1)
-    scored = _in_blocks(q, s, k, _word_scores, value if digits is None else lambda c: np.round(value(c), digits))
+    scored = _in_blocks(q, s, _best_of_block(k, _word_scores, value if digits is None else lambda c: np.round(value(c), digits)))
     score = tx.clamped_cosine(F.col("candidate_score"))
     return ranked(scored.withColumn("candidate_score", score if digits is None else F.round(score, digits)), k)

@@ -298,8 +298,8 @@ def exhaustive_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    t = _table(spark, d, "embeddings")
-    return src.of_table(t.withColumn("text", F.col("label").cast("string")), "vec_id").join(t.select(F.col("vec_id").alias("pos"), "embedding"), "pos")
+    t = _table(spark, d, "embeddings").where("vec_id is not null")
+    return src.of_table(t.withColumn("text", F.col("label").cast("string")), "vec_id", "text", "embedding")
 
 
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
@@ -383,9 +383,8 @@ def contextual_topk(spark: SparkSession, d: str) -> DataFrame:
 # --- evaluation -------------------------------------------------------------------------------------------------------
 
 
-def _gold(spark: SparkSession, d: str) -> DataFrame:
-    v = _table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "label")
-    return v.select(F.col("id").alias("query_id"), "label").join(v.select(F.col("id").alias("source_id"), "label"), "label").select("query_id", "source_id", F.lit(1).alias("label"))
+def _gold(spark: SparkSession, d: str) -> ev.Classes:
+    return ev.Classes(_table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("seg_id"), "label").where("seg_id is not null"))
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
@@ -420,7 +419,7 @@ def _micro_sql(key: str = "") -> str:
 e AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1, (tp + tn)::DOUBLE / total AS accuracy, fp::DOUBLE / total AS fpr, fn::DOUBLE / total AS fnr, (fp + fn)::DOUBLE / total AS smr FROM o)"""
 
 
-def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, ev.Gold, DataFrame]:
     v = _vectors(spark, d)
     gold = _gold(spark, d)
     return ev.per_query(ev.links(_judged(spark, d), 0.5), gold, v, v), gold, v

@@ -41,9 +41,9 @@ def checked(segments: DataFrame) -> DataFrame:
     return segments
 
 
-def of_table(df: DataFrame, seg_id: str, text: str = "text") -> DataFrame:
-    """Segments from a table with a numeric key, which also is their order."""
-    return df.select(F.col(seg_id).cast("string").alias("seg_id"), F.col(text).alias("text"), F.lit(None).cast("int").alias("row_id"), F.col(seg_id).cast("long").alias("pos"), F.create_map().cast("map<string,string>").alias("meta"))
+def of_table(df: DataFrame, seg_id: str, text: str = "text", *more: str) -> DataFrame:
+    """Segments from a table with a numeric key, which also is their order; columns ``more`` stay."""
+    return df.select(F.col(seg_id).cast("string").alias("seg_id"), F.col(text).alias("text"), F.lit(None).cast("int").alias("row_id"), F.col(seg_id).cast("long").alias("pos"), F.create_map().cast("map<string,string>").alias("meta"), *more)
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
