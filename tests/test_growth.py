@@ -56,3 +56,22 @@ def test_judgments_are_made_once_for_a_sweep(spark):
     seg = src.from_rows(spark, [{"seg_id": i, "text": ""} for i in "ab"])
     assert len(ev.threshold_sweep(judged, spark.createDataFrame([("a", "b", 1)], src.GOLD), seg, seg, (0.5, 0.95)).collect()) == 2
     assert made.value == 2
+
+
+def test_rules_move_no_pairs(spark):
+    """No source or pair is shuffled to find matches; ranges of sources give the ranks of the whole."""
+    from quotewright.operators import rules, scan
+
+    q = src.from_rows(spark, [{"seg_id": f"q{k}", "text": t} for k, t in enumerate(("rex lux mare terra oris", "rex, lux", "**x lux rex"))])
+    s = src.from_rows(spark, [{"seg_id": f"s{k}", "text": ("rex lux mare terra", "lux; rex", "non **x lux et rex", "\u009c\nrex lux ΣΣ")[k % 4]} for k in range(40)])
+    for f in (rules.shared_words, rules.near, rules.matches, rules.complura):
+        assert "Exchange hashpartitioning" not in f(q, s)._jdf.queryExecution().executedPlan().toString()
+    whole = sorted(rules.rule_based(q, s).collect())
+    old = rules.RANKED, scan.QUERIES, rules.PASS_CHARS
+    try:
+        rules.RANKED, scan.QUERIES, rules.PASS_CHARS = 3, 2, 1
+        assert sorted(rules.rule_based(q, s).collect()) == whole and len(whole) >= 40
+        assert sorted(rules.rule_based(q, s, top_k=2).collect()) == [r for r in whole if r["rank"] <= 2]
+    finally:
+        rules.RANKED, scan.QUERIES, rules.PASS_CHARS = old
+    assert sorted(r["rank"] for r in whole if r["query_id"] == "q0") == list(range(1, 1 + sum(r["query_id"] == "q0" for r in whole)))
