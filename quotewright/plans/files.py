@@ -16,11 +16,16 @@ from quotewright.sources import segments as src
 from quotewright.sources import sinks
 from quotewright.sources.storage import scratch
 
-#: Files of a table that is written to be read again.
-FILES = 4
+#: Files of a table that is written to be read again, at least, and bytes of text in one, as a file is written and read by one task.
+FILES, FILE_BYTES = 4, 64 << 20
 _ITEM_ROWS = "CAST(item_id AS VARCHAR) AS seg_id, text, CAST(row_number() OVER (ORDER BY item_id) - 1 AS INT) AS row_id FROM benchmark"
 
 
+def _files(texts: DataFrame) -> int:
+    """Files for a table with ``text``."""
+    return max(FILES, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
+
+
 def _as_csv(df: DataFrame, order: str, name: str, suffix: str = "", files: int = FILES) -> str:
     path = scratch(df.sparkSession, name) + suffix
     rows = df.repartitionByRange(files, order).sortWithinPartitions(order)
@@ -33,7 +38,8 @@ def _as_csv(df: DataFrame, order: str, name: str, suffix: str = "", files: int =
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS seg_id, text, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INT) AS row_id FROM documents")
 def csv_scan(spark: SparkSession, d: str) -> DataFrame:
-    return src.read_csv(spark, _as_csv(_docs(spark, d).select("seg_id", "text", "pos"), "pos", "documents")).select("seg_id", "text", "row_id")
+    docs = _docs(spark, d)
+    return src.read_csv(spark, _as_csv(docs.select("seg_id", "text", "pos"), "pos", "documents", files=_files(docs))).select("seg_id", "text", "row_id")
 
 
 @query(f"SELECT {_ITEM_ROWS}")
@@ -44,8 +50,9 @@ def tsv_scan(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT CAST(k AS VARCHAR) AS seg_id, text, k AS row_id FROM (SELECT {_CLEAN} AS text, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INT) AS k FROM documents) WHERE text <> ''")
 def plain_scan(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "lines")
-    lines = _table(spark, d, "documents").select("doc_id", tx.clean(F.col("text")).alias("value"))
-    lines.repartitionByRange(FILES, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+    docs = _table(spark, d, "documents")
+    lines = docs.select("doc_id", tx.clean(F.col("text")).alias("value"))
+    lines.repartitionByRange(_files(docs), "doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
     return src.read_document(spark, path).select("seg_id", "text", "row_id")
 
 
@@ -193,7 +200,8 @@ def segments_plain(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(doc_id AS VARCHAR) AS seg_id, text, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INT) AS row_id FROM documents")
 def segments_csv(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "segments") + ".csv"
-    sinks.save_csv(_docs(spark, d), path)
+    docs = _docs(spark, d)
+    sinks.save_csv(docs, path, files=_files(docs))
     return src.read_document(spark, path).select("seg_id", "text", "row_id")
 
 

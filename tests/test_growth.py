@@ -75,3 +75,17 @@ def test_rules_move_no_pairs(spark):
     finally:
         rules.RANKED, scan.QUERIES, rules.PASS_CHARS = old
     assert sorted(r["rank"] for r in whole if r["query_id"] == "q0") == list(range(1, 1 + sum(r["query_id"] == "q0" for r in whole)))
+
+
+def test_files_grow_in_number(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+    from quotewright.plans import files
+
+    monkeypatch.setattr(files, "FILE_BYTES", 40_000)
+    docs = spark.range(60).selectExpr("id as doc_id", "concat('a \"b\",\n', repeat('xyz ', 1000), id) as text")
+    docs.repartition(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(r[0], str(r[0]), r[1]) for r in docs.collect()}
+    for name in ("csv_scan", "segments_csv", "plain_scan"):
+        rows = entry.queries()[name](spark, str(tmp_path))
+        got = {(r["row_id"], r["seg_id"], r["text"]) for r in rows.collect()}
+        assert len(rows.inputFiles()) == 7 and len(got) == 60 and (name == "plain_scan" or got == want), name
